@@ -15,5 +15,20 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op6_shards": op6_shards}
-ORACLES: dict[str, str] = {}
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_rules import BASE, RULES, judged
+
+    q = F.col("_quality")
+    base = F.size(F.array_intersect(q["failed"], F.array(*[F.lit(r[0]) for r in RULES[:BASE]]))) > 0
+    fields = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[q[f].alias(f) for f in fields], base.alias("base_failed"), q["kept"].alias("kept"))
+
+
+def _op9_oracle() -> str:
+    from tessera.llm.quality_rules import oracle
+
+    return oracle()
+
+
+QUERIES = {"op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
