@@ -15,6 +15,23 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat_format import chain_of_turns, format_chats, read_back, unescaped
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    chats = format_chats(chain_of_turns(rows.unionByName(probe)))
+    turns = read_back(F.col("formatted"))
+    digest = F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    slices = F.transform("loss_spans", lambda x: F.substring(F.col("formatted"), (x["start"] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+    loss = F.array_join(F.transform(slices, unescaped), "")
+    return chats.select(
+        F.col("tree").alias("conv_id"), F.size(turns).cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "formatted", "loss_spans",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import BASE, RULES, judged
 
@@ -30,5 +47,5 @@ def _op9_oracle() -> str:
     return oracle()
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
