@@ -15,6 +15,12 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.pii import pii_summary
+
+    return pii_summary(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.chat_format import chain_of_turns, format_chats, read_back, unescaped
 
@@ -47,5 +53,5 @@ def _op9_oracle() -> str:
     return oracle()
 
 
-QUERIES = {"op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
