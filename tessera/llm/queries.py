@@ -47,11 +47,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *[q[f].alias(f) for f in fields], base.alias("base_failed"), q["kept"].alias("kept"))
 
 
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.mixing import mix
+
+    mixed, _ = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def _op9_oracle() -> str:
     from tessera.llm.quality_rules import oracle
 
     return oracle()
 
 
-QUERIES = {"op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
