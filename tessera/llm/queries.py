@@ -38,6 +38,12 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.quality_rules import BASE, RULES, judged
 
@@ -60,5 +66,5 @@ def _op9_oracle() -> str:
     return oracle()
 
 
-QUERIES = {"op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
