@@ -15,6 +15,12 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.pii import pii_summary
 
@@ -66,5 +72,5 @@ def _op9_oracle() -> str:
     return oracle()
 
 
-QUERIES = {"op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op4_leaks": op4_leaks, "op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}

@@ -72,14 +72,34 @@ def batches(texts: Iterable[str | None], limit: int = BATCH_BYTES) -> Iterator[t
         yield first, held
 
 
+_EDGE = np.zeros(256, dtype=bool)
+_EDGE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+
+
+def _stripped(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words without ASCII punctuation at either edge; those of nothing else go. ``last`` is the old end."""
+    last, start, end = end, start.copy(), end.copy()
+    todo = np.arange(len(start))
+    while len(todo := todo[(start[todo] < end[todo]) & _EDGE[raw[np.minimum(start[todo], len(raw) - 1)]]]):
+        start[todo] += 1
+    todo = np.arange(len(start))
+    while len(todo := todo[(start[todo] < end[todo]) & _EDGE[raw[end[todo] - 1]]]):
+        end[todo] -= 1
+    some = start < end
+    return start[some], end[some], last[some]
+
+
 class Words:
     """The words of some texts: ``hash``, ``start`` and ``end`` (bytes) of each, and ``doc`` bounds."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True) -> None:
+    def __init__(self, texts: list[bytes], lower: bool = True, strip: bool = False) -> None:
         raw = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         self.raw = raw
         edge = np.flatnonzero(np.diff(_SPACE[raw].view(np.int8), prepend=np.int8(1)))
         self.start, self.end = edge[::2], edge[1::2]
+        #: The byte after each word's last one before stripping, for signs that end a sentence.
+        if strip:
+            self.start, self.end, self.last = _stripped(raw, self.start, self.end)
         up, down = _TABLES.get(len(raw) + 1)
         values = (_BYTE[_LOWER] if lower else _BYTE)[raw]
         values *= up[: len(raw)]
