@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import Words, batches, mix64, rolled
+from tessera.llm.words import Words, batches, mix64, rolled, share
 
 WINDOW, MIN_WORDS = 8, 3
 #: Part of an item's words that must be covered, and words in one run that count at any coverage.
@@ -189,13 +189,13 @@ def leaks(spark, benchmark: DataFrame, text: Column, id_col: str = "item_id", te
     """An array of matches for each text."""
     parts = []
     for block in blocks(benchmark, id_col, text_col):
-        shared = spark.sparkContext.broadcast(block)
+        shared = share(spark, block)
 
         @F.pandas_udf(MATCH)
         def found(texts: pd.Series, shared=shared) -> pd.Series:
             out = []
             for _, held in batches(texts):
-                hit = matches(shared.value, held)
+                hit = matches(shared(), held)
                 out += [[{"item_id": a, "kind": b, "covered": c, "run": d} for a, b, c, d in hit.get(i, ())] for i in range(len(held))]
             return pd.Series(out, dtype=object)
 

@@ -5,10 +5,12 @@ A word is a run of bytes that are not ASCII white space, as in ``[^\\x20\\x09-\\
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 
 _RNG = np.random.RandomState(20_240_611)
 _BYTE = _RNG.randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,11 +108,16 @@ class Words:
         sums = np.empty(len(raw) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum(values, out=sums[1:])
-        self.hash = mix64((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        self._sums, self._down = sums, down
+        self.hash = self.hash_of(self.start, self.end)
         #: Byte where each text begins, and the number of its first word; one more entry closes the last.
         self.text_at = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))).astype(np.int64)
         self.first = np.searchsorted(self.start, self.text_at)
 
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes of each range; equal strings have equal hashes wherever they stand."""
+        return mix64((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
+
     def shingles(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; those that run over a text's end are to be left out."""
         return rolled(self.hash, k)
@@ -149,3 +156,15 @@ def frames(rows: Iterator[pd.DataFrame], text: str, limit: int = BATCH_BYTES) ->
     for frame in rows:
         for first, held in batches(frame[text], limit):
             yield frame.iloc[first : first + len(held)], held
+
+
+def share(spark, value):
+    """Broadcasts ``value`` once, by value, and returns a function that gives it on an executor."""
+    sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), {}
+
+    def get():
+        if not held:
+            held["value"] = pickle.loads(sent.value)
+        return held["value"]
+
+    return get
