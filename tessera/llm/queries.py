@@ -15,6 +15,13 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.quality_model import score_documents
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
+
+
 def op4_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.decontaminate import find_leaks
 
@@ -72,5 +79,5 @@ def _op9_oracle() -> str:
     return oracle()
 
 
-QUERIES = {"op4_leaks": op4_leaks, "op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op1_quality": op1_quality, "op4_leaks": op4_leaks, "op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
