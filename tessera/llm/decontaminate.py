@@ -185,21 +185,21 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Items]:
         yield Items.of(ids, texts)
 
 
+def _finder(block):
+    @F.pandas_udf(MATCH)
+    def found(texts: pd.Series) -> pd.Series:
+        out = []
+        for _, held in batches(texts):
+            hit = matches(block(), held)
+            out += [[{"item_id": a, "kind": b, "covered": c, "run": d} for a, b, c, d in hit.get(i, ())] for i in range(len(held))]
+        return pd.Series(out, dtype=object)
+
+    return found
+
+
 def leaks(spark, benchmark: DataFrame, text: Column, id_col: str = "item_id", text_col: str = "text") -> Column:
     """An array of matches for each text."""
-    parts = []
-    for block in blocks(benchmark, id_col, text_col):
-        shared = share(spark, block)
-
-        @F.pandas_udf(MATCH)
-        def found(texts: pd.Series, shared=shared) -> pd.Series:
-            out = []
-            for _, held in batches(texts):
-                hit = matches(shared(), held)
-                out += [[{"item_id": a, "kind": b, "covered": c, "run": d} for a, b, c, d in hit.get(i, ())] for i in range(len(held))]
-            return pd.Series(out, dtype=object)
-
-        parts.append(found(text))
+    parts = [_finder(share(spark, block))(text) for block in blocks(benchmark, id_col, text_col)]
     return F.concat(*parts) if parts else F.array().cast(MATCH)
 
 

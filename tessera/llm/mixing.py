@@ -107,7 +107,7 @@ def text_lines(rows: DataFrame, order: list[str], seed: int, n_rows: int) -> Dat
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.0, cap: float = 3.0, block: int = BLOCK, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """Returns the documents with size, source_size, target and taken, and the pieces that the slots take.
 
-    Documents: ``id_col``, ``source_col``, size, source_size, target, taken. Pieces: slot, ``id_col``, start and
+    Documents: ``id_col``, text_crc32, ``source_col``, size, source_size, target, taken. Pieces: slot, ``id_col``, start and
     end (half-open, in words of the document), so that writing pieces in slot order gives the mixed stream.
     """
     spark = docs.sparkSession
@@ -136,5 +136,30 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # Rows with words have a place of their own on their source's line; rows without take nothing.
     taken = pieces.groupBy(F.col("source_no").alias("_s"), F.col("at").alias("_at")).agg(F.sum(F.col("end") - F.col("start")).alias("_taken"))
     mixed = lined.join(taken, (F.col("source_no") == F.col("_s")) & (F.col("at") == F.col("_at")) & (F.col("size") > 0), "left")
-    result = mixed.select(F.col("_id").alias(id_col), F.col("_source").alias(source_col), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    result = mixed.select(F.col("_id").alias(id_col), F.col("_crc").alias("text_crc32"), F.col("_source").alias(source_col), "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
     return result, pieces.select("slot", F.col("_id").alias(id_col), "start", "end")
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word, white space between kept."""
+    ws = "\\x20\\x09-\\x0D"
+    parts = F.split(F.btrim(text, F.lit(" \t\n\x0b\f\r")), f"(?<=[{ws}])(?=[^{ws}])")
+    return F.rtrim(F.array_join(F.slice(parts, F.lit(1), n.cast("int")), ""))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
+    """The mix itself: each document as often as it's taken whole, and cut to its first words where a target ends in it.
+
+    Documents that the mix doesn't take go; the columns are those of ``docs``. Equal rows count together.
+    """
+    chosen, _ = mix(docs, id_col, text_col, source_col, **settings)
+    size = F.greatest(F.col("_size"), F.lit(1))
+    per = chosen.groupBy(F.col(id_col).alias("_id"), F.col("text_crc32").alias("_crc"), F.col(source_col).alias("_source")).agg(F.sum("taken").alias("_taken"), F.max("size").alias("_size")).filter("_taken > 0")
+    crc = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.withColumn("_tessera_crc", crc).dropDuplicates([id_col, "_tessera_crc", source_col])
+    joined = rows.join(per, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_tessera_crc") == F.col("_crc")) & F.col(source_col).eqNullSafe(F.col("_source")))
+    whole, rest = F.floor(F.col("_taken") / size), F.col("_taken") % size
+    copies = joined.withColumn("_words", F.explode(F.concat(F.array_repeat(F.col("_size"), whole.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))))
+    text = F.when(F.col("_words") < F.col("_size"), first_words(F.col(text_col), F.col("_words"))).otherwise(F.col(text_col))
+    return copies.withColumn(text_col, text).select(*names)

@@ -215,6 +215,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, with all its columns; of equal ids one row is kept."""
+    """One document of each group, with all its columns; of equal ids one row is kept, rows without an id stay."""
     kept = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.filter(F.col(id_col).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
