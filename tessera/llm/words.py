@@ -46,6 +46,9 @@ class _Tables:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def __reduce__(self):
+        return _Tables, ()  # never sent: each worker makes its own
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             n = max(n, 2 * len(self.up))
