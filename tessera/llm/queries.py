@@ -22,6 +22,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), labels)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.suffix_dedup import remove_repeats
 
@@ -85,5 +91,5 @@ def _op9_oracle() -> str:
     return oracle()
 
 
-QUERIES = {"op3_repeats": op3_repeats, "op1_quality": op1_quality, "op4_leaks": op4_leaks, "op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
+QUERIES = {"op2_licenses": op2_licenses, "op3_repeats": op3_repeats, "op1_quality": op1_quality, "op4_leaks": op4_leaks, "op8_near_dup": op8_near_dup, "op10_mix": op10_mix, "op5_pii": op5_pii, "op7_chat": op7_chat, "op9_quality_rules": op9_quality_rules, "op6_shards": op6_shards}
 ORACLES: dict[str, str] = {"op9_quality_rules": _op9_oracle()}
