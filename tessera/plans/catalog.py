@@ -1,22 +1,20 @@
-"""Every query of the engine with its DuckDB oracle, and the flagship query."""
+"""Every query of the engine with its DuckDB statement, and the flagship query."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.session import table
+from tessera.plans import corpus_queries, relational_queries, span_queries, vector_queries  # noqa: F401  they register themselves
+from tessera.plans.registry import ORACLES, QUERIES, Query
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n_rows"))
+    return corpus_queries.corpus_build(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
