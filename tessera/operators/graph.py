@@ -17,16 +17,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    place = cut(e.select(F.col("u").alias("node")).distinct().withColumn("at", F.col("node")))
-    e = e.filter("u <> v")
-    seed = 0
-    while not e.isEmpty():
-        seed += 1
+    place, left = None, not e.isEmpty()
+    while left or place is None:
+        seed = 0 if place is None else seed + 1
         order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
-        taken = e.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to"))
-        taken = cut(taken)
-        place = cut(place.join(taken.withColumnRenamed("u", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at")))
-        half = e.join(taken, "u").select(F.col("to").alias("u"), "v")
-        e = cut(half.join(taken.withColumnRenamed("u", "v").withColumnRenamed("to", "to_v"), "v").select("u", F.col("to_v").alias("v")).filter("u <> v").distinct())
+        taken = cut(e.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to")))
+        if place is None:
+            place = taken.select(F.col("u").alias("node"), F.col("to").alias("at"))
+        else:
+            place = place.join(taken.withColumnRenamed("u", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
+        if left:
+            half = e.join(taken, "u").select(F.col("to").alias("u"), "v")
+            e = cut(half.join(taken.withColumnRenamed("u", "v").withColumnRenamed("to", "to_v"), "v").select("u", F.col("to_v").alias("v")).filter("u <> v").distinct())
+            left = not e.isEmpty()
     least = place.groupBy("at").agg(F.min("node").alias("component"))
     return place.join(least, "at").select("node", "component")

@@ -33,7 +33,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
 
+def release(spark: SparkSession) -> None:
+    """Once the driver holds half of its heap, frees what finished jobs left there.
+
+    Spark removes the shuffle files, broadcasts and checkpoints of a finished step only after the driver's
+    collector has run; a driver that issues many small jobs may not run it for long.
+    """
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        heap = jvm.java.lang.Runtime.getRuntime()
+        if heap.totalMemory() > 0.5 * heap.maxMemory():
+            jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint, so that a lost executor loses no work."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return out
