@@ -13,7 +13,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round, every node takes the neighbour (or itself) that comes first in a hashed order, and edges
     are mapped to the nodes taken; hashing makes the rounds few even on sorted chains. Nodes on no edge
-    are not returned. Lineage is cut each round by a checkpoint in the shared folder.
+    are not returned. Lineage is cut each round by a table in the shared checkpoint folder.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())

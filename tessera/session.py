@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -33,22 +35,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
 
 
-def release(spark: SparkSession) -> None:
-    """Once the driver holds half of its heap, frees what finished jobs left there.
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage: writes ``df`` to the shared checkpoint folder and reads it again.
 
-    Spark removes the shuffle files, broadcasts and checkpoints of a finished step only after the driver's
-    collector has run; a driver that issues many small jobs may not run it for long.
+    A written table survives lost executors, and its real size is known to the planner. (checkpoint() keeps the
+    size estimated from the plan so far, which multiplies with each join of a loop until it fills the driver.)
+    The files stay until the checkpoint folder is cleared.
     """
-    jvm = spark.sparkContext._jvm
-    if jvm is not None:
-        heap = jvm.java.lang.Runtime.getRuntime()
-        if heap.totalMemory() > 0.5 * heap.maxMemory():
-            jvm.System.gc()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint, so that a lost executor loses no work."""
-    ensure_checkpoint_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    release(df.sparkSession)
-    return out
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/cut-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
