@@ -15,7 +15,8 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
     p, z2 = k / n_, Z * Z
     mid = (p + z2 / (2 * n_)) / (1 + z2 / n_)
     half = Z * F.sqrt(p * (1 - p) / n_ + z2 / (4 * n_ * n_)) / (1 + z2 / n_)
-    return F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    # greatest and least skip nulls, so the empty case is named.
+    return F.when(n > 0, F.greatest(F.lit(0.0), mid - half)), F.when(n > 0, F.least(F.lit(1.0), mid + half))
 
 
 def mcnemar(b: Column, c: Column) -> Column:

@@ -105,7 +105,7 @@ def token_budget_selection(spark, sf_dir):
     return co.budget_selection(d.join(tot, "pool"), ["pool"], [co.seeded_order("42", F.col("doc_id"))], "n_chars", F.col("target")).select("doc_id", "pool", "n_chars")
 
 
-@query(_SEL + ", s AS (SELECT * FROM c WHERE before < target) SELECT pool, CAST(sum(n_chars) AS BIGINT) AS taken, CAST(count(*) AS BIGINT) AS n_docs, greatest(0.0, any_value(target) - sum(n_chars)) AS shortfall FROM s GROUP BY pool")
+@query(_SEL + ", s AS (SELECT * FROM c WHERE before < target) SELECT pool, CAST(sum(n_chars) AS BIGINT) AS taken, CAST(count(*) AS BIGINT) AS n_docs, CAST(greatest(0.0, any_value(target) - sum(n_chars)) AS DOUBLE) AS shortfall FROM s GROUP BY pool")
 def budget_report(spark, sf_dir):
     chosen = token_budget_selection(spark, sf_dir)
     d = table(spark, sf_dir, "documents").select("n_chars", F.when(F.col("lang") == "en", F.lit("main")).otherwise(F.lit("pool")).alias("pool"))

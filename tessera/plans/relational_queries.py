@@ -20,7 +20,7 @@ _WILSON = "({k} / {n} + {z2} / (2 * {n})) / (1 + {z2} / {n}) {sign} {z} * sqrt({
 
 def _duck_wilson(k: str, n: str, lo: str, hi: str) -> str:
     form = lambda sign: _WILSON.format(k=k, n=f"nullif(CAST({n} AS DOUBLE), 0)", z=_Z, z2=_Z * _Z, sign=sign)
-    return f"round(greatest(0.0, {form('-')}), 9) AS {lo}, round(least(1.0, {form('+')}), 9) AS {hi}"
+    return f"CASE WHEN {n} > 0 THEN round(greatest(0.0, {form('-')}), 9) END AS {lo}, CASE WHEN {n} > 0 THEN round(least(1.0, {form('+')}), 9) END AS {hi}"
 
 
 def _labelled(spark, sf_dir):
