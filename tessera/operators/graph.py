@@ -17,10 +17,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     e = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # One order for all rounds: the first of a star's nodes stays its centre, whichever node that was before.
+    order = lambda c: F.struct(F.xxhash64(F.col(c)).alias("h"), F.col(c).alias("id"))
     place, left = None, not e.isEmpty()
     while left or place is None:
-        seed = 0 if place is None else seed + 1
-        order = lambda c: F.struct(F.xxhash64(F.lit(seed), F.col(c)).alias("h"), F.col(c).alias("id"))  # noqa: E731, B023
         taken = cut(e.groupBy("u").agg(F.min(order("v")).alias("m")).select("u", F.least(F.col("m"), order("u"))["id"].alias("to")))
         if place is None:
             place = taken.select(F.col("u").alias("node"), F.col("to").alias("at"))
