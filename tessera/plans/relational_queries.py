@@ -293,3 +293,35 @@ def strict_json_issues(spark, sf_dir):
     i = F.col("event_id") % 9
     text = F.when(i == 0, '{"a": 1, "a": 2}').when(i == 1, '{"a": NaN}').when(i == 2, '{"a": ').when(i == 3, " ").otherwise(F.col("props"))
     return strict_json(e.withColumn("t", text), "t").select("event_id", F.coalesce("issue", F.lit("none")).alias("issue"))
+
+
+def _molecules(spark, sf_dir):
+    """Molecules whose counts follow from how they are written: a chain, a ring, an oxygen, maybe a salt."""
+    p = table(spark, sf_dir, "part")
+    chain, ring = (F.col("p_partkey") % 5 + 1).cast("int"), (F.col("p_partkey") % 4 + 2).cast("int")
+    text = F.concat(F.repeat(F.lit("C"), chain), F.lit("O"), F.lit("C1"), F.repeat(F.lit("C"), ring), F.lit("1"), F.when(F.col("p_partkey") % 3 == 0, ".[Na+]").otherwise(""))
+    return p.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 17 == 0, F.lit("C(")).otherwise(text).alias("smiles"))
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 17 = 0 THEN 'syntax' ELSE 'ok' END AS code, CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE CAST(p_partkey % 5 + 1 + 1 + 1 + p_partkey % 4 + 2 + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) END AS heavy, CASE WHEN p_partkey % 17 = 0 THEN -1 ELSE 1 END AS rings, CASE WHEN p_partkey % 17 = 0 THEN -1 WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS components FROM part")
+def molecule_inspect(spark, sf_dir):
+    from tessera.functions.molecules import inspected
+
+    m = _molecules(spark, sf_dir).select("id", inspected(F.col("smiles")).alias("d"))
+    return m.select("id", F.coalesce("d.code", F.lit("ok")).alias("code"), *[F.coalesce(f"d.{c}", F.lit(-1)).alias(c) for c in ("heavy", "rings", "components")])
+
+
+@query("SELECT CAST(count(DISTINCT (p_partkey % 5) * 4 + p_partkey % 4) AS BIGINT) AS n_keys, CAST(4 AS BIGINT) AS n_scaffolds FROM part WHERE p_partkey % 17 <> 0")
+def fragment_pool(spark, sf_dir):
+    """Distinct main fragments and scaffolds of the pool; invalid texts are left out."""
+    from tessera.functions.molecules import inspected
+
+    m = _molecules(spark, sf_dir).select(inspected(F.col("smiles")).alias("d")).filter("d.code IS NULL")
+    return m.agg(F.countDistinct("d.main_key").alias("n_keys"), F.countDistinct("d.scaffold_key").alias("n_scaffolds"))
+
+
+@query()
+def molecule_mutations(spark, sf_dir):
+    from tessera.functions.molecules import mutation_table
+
+    return mutation_table(_molecules(spark, sf_dir), "id", "smiles").withColumn("similarity", F.round("similarity", 9))
