@@ -381,9 +381,10 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, grams_bound: int = GRAMS) ->
     total = grams.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum(F.when(F.col("n") <= hot, F.col("n"))), F.lit(0)).alias("n"), F.count_if(F.col("n") > hot).alias("h")).first()
     n_tasks = 1 + total["n"] // PER_TASK + total["h"] // 4
     if total["k"] <= grams_bound:
-        got = grams.select("gram", (F.col("n") > hot).alias("h")).toPandas()
-        values = got["gram"].to_numpy(dtype=np.int64).view(np.uint64)
-        known, busy = share(spark, np.sort(values)), share(spark, np.sort(values[got["h"].to_numpy(dtype=bool)]))
+        # Eight bytes each, packed by task: the driver never holds them as rows.
+        got = grams.select("gram", (F.col("n") > hot).alias("hot")).mapInPandas(_packed, "known binary, hot binary").collect()
+        joined = lambda c: np.sort(np.frombuffer(b"".join(r[c] for r in got), dtype=np.uint64))
+        known, busy = share(spark, joined("known")), share(spark, joined("hot"))
         runs = docs.select("id", "th", "text").mapInPandas(_runs(known, busy, n_tasks), _RUN)
     else:
         own = docs.select("id", "th", "text").mapInPandas(_own_grams, "id long, th long, gram long")
@@ -392,6 +393,12 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, grams_bound: int = GRAMS) ->
     return runs.repartition("task").sortWithinPartitions("task", "kind").mapInPandas(_merge_task, _SPAN)
 
 
+def _packed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in rows:
+        known = frame["gram"].to_numpy(dtype=np.int64)
+        yield pd.DataFrame({"known": [known.tobytes()], "hot": [known[frame["hot"].to_numpy(dtype=bool)].tobytes()]})
+
+
 def _own_grams(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame, texts in frames(rows, "text"):
         for ids, hashes, _, part in pieces(frame, texts):
