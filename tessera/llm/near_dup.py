@@ -9,13 +9,13 @@ registers of parts merge by maximum and agree the likelier, the more alike two s
    centre: buckets are stars, pairs inside a bucket are never all listed.
 3. Pairs are confirmed on the full sets, read again from whole texts; confirmed links are joined to
    components.
-4. Buckets that still hold more than one component are searched in blocks: the classes outside the
-   bucket's largest component are held against all its other classes by the likelihood estimate of
-   their similarity; what may be alike is confirmed on full sets as before. So no candidate of any
-   band is left out, and what lies in one component already costs nothing.
+4. Classes that buckets join, directly or over others, form groups. Groups of more than one component
+   are searched in blocks: the classes outside the largest component are held against the group's
+   others, first by the likelihood estimate of their similarity, then on full sets, the likeliest
+   first. So no candidate of any band is left out, and what lies in one component costs nothing.
 
 With 32 bands of 3 registers a pair at similarity 0.75 is missed with a chance below 1e-7; an
-estimate from 96 registers lies below ESTIMATE for such a pair with a chance below 1e-5.
+estimate from 96 registers lies below ESTIMATE for such a pair with a chance below 1e-4.
 
 Defined results: null and empty texts have no shingles and link with nothing; equal rows fall into
 one class; rows whose id is null get no component and are not kept; other columns are ignored.
@@ -40,9 +40,9 @@ M = BANDS * ROWS
 #: SetSketch parameters: base, rate and largest register value.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2
 #: Similarity asked for, in hundredths, and the estimate under which pairs outside a star aren't confirmed.
-PERCENT, ESTIMATE = 75, 0.55
+PERCENT, ESTIMATE = 75, 0.57
 #: Sets that meet one centre in a task; rows of a block in step 4.
-STAR, BLOCK = 256, 512
+STAR, BLOCK = 256, 1024
 _MUL = mix64(np.arange(1, M + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADD = mix64(np.arange(1001, M + 1001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LN = np.log(BASE)
@@ -137,55 +137,76 @@ def _links(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _search_block(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (key, block, part, kind): queries (kind 0) first, then the classes they are held against."""
-    at, comps, sizes, ids, regs = None, None, None, None, None
+    """Rows sorted by (grp, block, part, kind): queries (kind 0) first, then the classes they are held against.
 
-    def gathered(part: pd.DataFrame) -> tuple:
-        return part["comp"].to_numpy(), part["n_shingles"].to_numpy(dtype=np.float64), part["rep"].to_numpy(), unband(np.stack(part["bands"].to_numpy()))
+    Of each other component the likeliest members are tried first; one link to a component is enough, so only
+    queries that have none are held against all of it.
+    """
+    at, asked, root = None, None, {}
 
-    for frame in rows:
-        out = []
-        for key, part in frame.groupby(["key", "block", "part"], sort=False):
-            if key != at:
-                at, comps = key, None
-            if len(q := part[part["kind"] == 0]):
-                new = gathered(q)
-                comps, sizes, ids, regs = new if comps is None else tuple(np.concatenate(x) for x in zip((comps, sizes, ids, regs), new, strict=True))
-            if len(p := part[part["kind"] == 1]) and comps is not None:
-                p_comp, p_size, p_id, p_reg = gathered(p)
-                for i in range(len(comps)):
-                    other = p_comp != comps[i]
-                    if other.any():
-                        r, n = p_reg[other], p_size[other]
-                        above, below = (regs[i] > r).sum(axis=1), (regs[i] < r).sum(axis=1)
-                        likely = joint_estimate(sizes[i], n, above, below, M - above - below) >= ESTIMATE
-                        out.append(pd.DataFrame({"c": np.full(likely.sum(), ids[i]), "x": p_id[other][likely]}))
-        yield pd.concat(out) if out else pd.DataFrame({"c": [], "x": []}, dtype="int64")
-
-
-def block_candidates(members: DataFrame, classes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of classes in one bucket but different components that the estimate calls alike.
-
-    members: (key, rep); comps: (node, component). Each block of queries meets each block of the bucket's
-    classes in a task of its own size, so a bucket of any size is spread.
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    for frame, texts in frames(rows, "text"):
+        place = frame[["grp", "block", "part"]].to_numpy()
+        kind, comp, rep = (frame[c].to_numpy() for c in ("kind", "comp", "rep"))
+        regs, sets = unband(np.stack(frame["bands"].to_numpy())).astype(np.int32), list(shingle_sets(texts, SHINGLE))
+        size = np.array([len(x) for x in sets], dtype=np.float64)
+        edges = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]).any(axis=1), [True])))
+        links = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            if at != tuple(place[lo]):
+                at, asked, root = tuple(place[lo]), [], {}
+            mid = lo + int((kind[lo:hi] == 0).sum())
+            asked += [(comp[i], size[i], rep[i], regs[i], sets[i]) for i in range(lo, mid)]
+            if hi == mid:
+                continue
+            names, which = np.unique(comp[mid:hi], return_inverse=True)
+            for q_comp, q_size, q_id, q_regs, q_set in asked:
+                mine = find(q_comp)
+                other = np.flatnonzero(np.array([find(c) != mine for c in names.tolist()])[which])
+                if not len(other):
+                    continue
+                r = regs[mid + other]
+                above, below = (q_regs > r).sum(axis=1), (q_regs < r).sum(axis=1)
+                likely = joint_estimate(q_size, size[mid + other], above, below, M - above - below)
+                order = np.argsort(-likely, kind="stable")
+                for j in (mid + other[order[: int((likely >= ESTIMATE).sum())]]).tolist():
+                    theirs = find(comp[j])
+                    if theirs == mine:
+                        continue
+                    both = len(np.intersect1d(q_set, sets[j], assume_unique=True))
+                    if 100 * both >= PERCENT * (len(q_set) + len(sets[j]) - both):
+                        links.append((q_id, rep[j]))
+                        root[mine] = theirs
+                        mine = theirs
+        yield pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+
+
+def search_blocks(members: DataFrame, classes: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components whose classes are joined by buckets, directly or over others.
+
+    members: (c, rep), each class with the centre of each of its buckets; comps: (node, component). Groups of
+    classes joined by buckets hold every candidate of every band. In a group of several components the classes
+    outside the largest are queries, held in blocks against parts of the group, so a group of any size is spread.
     """
+    groups = connected_components(members.select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()).withColumnRenamed("node", "rep").withColumnRenamed("component", "grp")
     known = comps.select(F.col("node").alias("rep"), F.col("component"))
-    sizes = known.groupBy("component").agg(F.count(F.lit(1)).alias("_size"))
-    comp_of = known.join(sizes, "component")
-    m = members.join(comp_of, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("_size", F.lit(1)).alias("_size"))
-    per = m.groupBy("key").agg(F.max(F.struct("_size", "comp")).alias("_top"), F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.count(F.lit(1)).alias("_n")).filter("_low <> _high")
-    open_rows = m.join(per.select("key", F.col("_top.comp").alias("_top"), "_n"), "key")
-    asked = F.col("comp") != F.col("_top")
-    n_q = open_rows.filter(asked).groupBy("key").agg(F.count(F.lit(1)).alias("_q"))
-    full = open_rows.join(n_q, "key").withColumn("_asked", asked)
-    blocks, parts = F.expr(f"_q div {BLOCK} + 1"), F.expr(f"_n div {8 * BLOCK} + 1")
-    own_block, own_part = F.pmod(F.xxhash64("rep"), blocks), F.pmod(F.xxhash64("rep", F.lit(1)), parts)
-    queries = full.filter("_asked").select("key", own_block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"), F.lit(0).alias("kind"), "rep", "comp")
-    others = full.select("key", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("block"), own_part.alias("part"), F.lit(1).alias("kind"), "rep", "comp")
-    rows = queries.unionByName(others).join(classes.select("rep", "n_shingles", "bands"), "rep")
-    dealt = rows.repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "kind")
-    found = dealt.mapInPandas(_search_block, "c long, x long")
-    return found.select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("x")).distinct()
+    m = cut(groups.join(known, "rep", "left").select("rep", "grp", F.coalesce("component", "rep").alias("comp")))
+    sizes = m.groupBy("grp", "comp").agg(F.count(F.lit(1)).alias("_size"))
+    per = sizes.groupBy("grp").agg(F.max(F.struct("_size", "comp")).alias("_m"), F.count(F.lit(1)).alias("_k"), F.sum("_size").alias("_n")).filter("_k > 1")
+    per = per.select("grp", F.col("_m.comp").alias("_top"), "_n", (F.col("_n") - F.col("_m._size")).alias("_q"))
+    blocks, parts = F.expr(f"_q div {BLOCK} + 1"), F.expr(f"_n div {2 * BLOCK} + 1")
+    full = m.join(per, "grp").select("rep", "grp", "comp", "_top", blocks.alias("_blocks"), parts.alias("_parts"))
+    full = cut(full.join(classes.select("rep", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep"))
+    own_block, own_part = F.pmod(F.xxhash64("rep"), F.col("_blocks")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("_parts"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    queries = full.filter("comp <> _top").select("grp", own_block.alias("block"), each("_parts").alias("part"), F.lit(0).alias("kind"), "rep", "comp", "bands", "text")
+    others = full.select("grp", each("_blocks").alias("block"), own_part.alias("part"), F.lit(1).alias("kind"), "rep", "comp", "bands", "text")
+    dealt = queries.unionByName(others).repartition("grp", "block", "part").sortWithinPartitions("grp", "block", "part", "kind")
+    return dealt.mapInPandas(_search_block, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,18 +217,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
     bands = classes.select("rep", F.explode("bands").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("c"), F.max("rep").alias("_top")).filter("c <> _top").drop("_top")
-    members = cut(bands.join(shared, "key").select("key", "c", "rep"))
-    met = members.filter("c <> rep").groupBy("c", "rep").agg(F.count(F.lit(1)).alias("_n"))
+    members = cut(bands.join(shared, "key").groupBy("c", "rep").agg(F.count(F.lit(1)).alias("_n")))
+    met = members.filter("c <> rep")
     # Of a class's centres, the one it shares most bands with comes first; the rest is left to step 4.
     first = cut(met.groupBy(F.col("rep").alias("x")).agg(F.max(F.struct("_n", (-F.col("c")).alias("_c"))).alias("_m")).select((-F.col("_m._c")).alias("c"), "x"))
     texts = d.withColumnRenamed("doc_id", "id").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     texts = cut(texts.dropDuplicates(["id"]))
     links = cut(confirmed(first, texts))
-    comps = connected_components(links)
-    more = block_candidates(members.select("key", "rep"), classes, comps)
-    again = cut(more.join(first, ["c", "x"], "left_anti"))
-    if not again.isEmpty():
-        comps = connected_components(links.unionByName(confirmed(again, texts)))
+    comps = cut(connected_components(links))
+    more = cut(search_blocks(members, classes, comps, texts))
+    if not more.isEmpty():
+        comps = cut(connected_components(links.unionByName(more)))
     least = classes.select("digest", "rep").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     out = s.select("doc_id", "n_shingles", "digest").join(least, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
