@@ -37,11 +37,13 @@ from tessera.session import cut
 
 LENGTH, GRAM, REACH = 200, 64, 128
 #: Bytes of a segment of a very long text.
-SEGMENT = 1 << 22
+SEGMENT = 1 << 21
 #: Most repeated strings that are broadcast, occurrences that one task may gather, suffixes of a task.
 GRAMS, HOT, PER_TASK = 4_000_000, 20_000, 40_000
 #: Bytes of suffixes that a task sorts at a time.
-RUN_BYTES = 32 << 20
+RUN_BYTES = 8 << 20
+#: Bytes of text whose anchors are found at once; a dozen arrays of eight bytes for each stand beside it.
+BATCH = 1 << 20
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _WIDTH = LENGTH + REACH
@@ -100,7 +102,7 @@ def pieces(frame: pd.DataFrame, texts: list[bytes]) -> Iterator[tuple[np.ndarray
 
 
 def _count_grams(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame, texts in frames(rows, "text"):
+    for frame, texts in frames(rows, "text", BATCH):
         for _, _, _, part in pieces(frame, texts):
             values, counts = np.unique(Anchors(part).gram, return_counts=True)
             yield pd.DataFrame({"gram": values.view(np.int64), "n": counts})
@@ -270,7 +272,7 @@ def _runs(grams, hot, n_tasks: int):
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = {}, 0
-        for frame, texts in frames(rows, "text"):
+        for frame, texts in frames(rows, "text", BATCH):
             known = grams() if grams else np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["grams"]]).view(np.uint64))
             busy = hot() if grams else np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["hot"]] or [np.empty(0, dtype=np.int64)]).view(np.uint64))
             for ids, hashes, offset, part in pieces(frame, texts):
@@ -390,7 +392,7 @@ def repeated_spans(docs: DataFrame, hot: int = HOT, grams_bound: int = GRAMS) ->
         own = docs.select("id", "th", "text").mapInPandas(_own_grams, "id long, th long, gram long")
         wanted = own.join(grams, "gram").groupBy("id", "th").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot"))
         runs = docs.join(wanted, ["id", "th"]).select("id", "th", "text", "grams", "hot").mapInPandas(_runs(None, None, n_tasks), _RUN)
-    return runs.repartition("task").sortWithinPartitions("task", "kind").mapInPandas(_merge_task, _SPAN)
+    return runs.repartition(int(n_tasks), "task").sortWithinPartitions("task", "kind").mapInPandas(_merge_task, _SPAN)
 
 
 def _packed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -400,7 +402,7 @@ def _packed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _own_grams(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame, texts in frames(rows, "text"):
+    for frame, texts in frames(rows, "text", BATCH):
         for ids, hashes, _, part in pieces(frame, texts):
             x = Anchors(part)
             yield pd.DataFrame({"id": ids[x.text], "th": hashes[x.text], "gram": x.gram.view(np.int64)}).drop_duplicates()
