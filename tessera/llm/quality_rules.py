@@ -61,8 +61,17 @@ def _repeat_words() -> str:
     return f"if(size(w) < 3, 0L, {body})"
 
 
-def measures(text_col: str = "text") -> Column:
-    """A struct of all measures of one text."""
+def _failed(m: str, rules) -> str:
+    """SQL for the names of the rules that the measures in struct ``m`` fail, in the table's order."""
+    side = lambda name, factor: f"{factor}L" if name is None else f"{m}.{name} * {factor}L"
+    return "array_compact(array(" + ", ".join(f"if({side(left, f)} > {side(right, g)}, '{name}', NULL)" for name, left, f, right, g in rules) + "))"
+
+
+def verdict(text_col: str = "text", rules=RULES) -> Column:
+    """A struct of all measures of one text, ``failed`` (names of rules) and ``kept``.
+
+    It's one expression whose parts are bound once, so a filter on it that Spark pushes down doesn't repeat them.
+    """
     stop = ", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))
     fields = {
         "n_words": "bigint(size(w))",
@@ -77,26 +86,19 @@ def measures(text_col: str = "text") -> Column:
     struct = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items()) + ")"
     words = f"if(c = '', array(), split(c, '{_CLASS}'))"
     lines = f"filter(split(t, '\\n'), x -> trim(BOTH '{_WS}' FROM x) <> '')"
-    body = _let("c", f"trim(BOTH '{_WS}' FROM t)", _let("w", words, _let("l", lines, struct)))
+    judged_ = "named_struct(" + ", ".join(f"'{k}', q.{k}" for k in MEASURES) + ", 'failed', r, 'kept', size(r) = 0)"
+    body = _let("c", f"trim(BOTH '{_WS}' FROM t)", _let("w", words, _let("l", lines, _let("q", struct, _let("r", _failed("q", rules), judged_)))))
     return F.expr(_let("t", f"coalesce(`{text_col}`, '')", body))
 
 
-def failed_rules(m: Column, rules=RULES) -> Column:
-    """The names of the rules that a struct of measures fails, in the table's order."""
-    side = lambda name, factor: (F.lit(1) if name is None else m[name]) * F.lit(factor).cast("long")
-    return F.array_compact(F.array(*[F.when(side(left, f) > side(right, g), F.lit(name)) for name, left, f, right, g in rules]))
-
-
 def judged(docs: DataFrame, text_col: str = "text", rules=RULES, out: str = "_quality") -> DataFrame:
-    """Adds a struct ``out``: the measures, ``failed`` (names of rules) and ``kept``."""
-    with_m = docs.withColumn(out, measures(text_col))
-    with_f = with_m.withColumn(out, F.col(out).withField("failed", failed_rules(F.col(out), rules)))
-    return with_f.withColumn(out, F.col(out).withField("kept", F.size(F.col(out)["failed"]) == 0))
+    """Adds a struct ``out``: the measures, ``failed`` and ``kept``."""
+    return docs.withColumn(out, verdict(text_col, rules))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
     """The rows that pass every rule, with the columns they came with."""
-    return judged(docs, text_col, rules, "_tessera_quality").filter(F.col("_tessera_quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.filter(verdict(text_col, rules)["kept"])
 
 
 def _duck_words() -> str:
