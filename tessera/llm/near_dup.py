@@ -115,8 +115,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     salted = pairs.join(sized, "c").select("c", "x", F.pmod(F.xxhash64("x"), salts).cast("long").alias("salt"))
     centres = sized.select("c", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
     t = texts.select("id", "text")
-    rows = salted.join(t.withColumnRenamed("id", "x"), "x").select("c", "salt", F.lit(1).alias("kind"), "x", "text")
-    heads = centres.join(t.withColumnRenamed("id", "c"), "c").select("c", "salt", F.lit(0).alias("kind"), F.col("c").alias("x"), "text")
+    # Merge joins at every size: a broadcast on small inputs would hide what large ones shuffle.
+    rows = salted.hint("merge").join(t.withColumnRenamed("id", "x"), "x").select("c", "salt", F.lit(1).alias("kind"), "x", "text")
+    heads = centres.hint("merge").join(t.withColumnRenamed("id", "c"), "c").select("c", "salt", F.lit(0).alias("kind"), F.col("c").alias("x"), "text")
     dealt = rows.unionByName(heads).repartition("c", "salt").sortWithinPartitions("c", "salt", "kind", "x")
     return dealt.mapInPandas(_links, "a long, b long")
 
@@ -200,7 +201,7 @@ def search_blocks(members: DataFrame, classes: DataFrame, comps: DataFrame, text
     per = per.select("grp", F.col("_m.comp").alias("_top"), "_n", (F.col("_n") - F.col("_m._size")).alias("_q"))
     blocks, parts = F.expr(f"_q div {BLOCK} + 1"), F.expr(f"_n div {2 * BLOCK} + 1")
     full = m.join(per, "grp").select("rep", "grp", "comp", "_top", blocks.alias("_blocks"), parts.alias("_parts"))
-    full = cut(full.join(classes.select("rep", "bands"), "rep").join(texts.withColumnRenamed("id", "rep"), "rep"))
+    full = cut(full.join(classes.select("rep", "bands"), "rep").hint("merge").join(texts.withColumnRenamed("id", "rep"), "rep"))
     own_block, own_part = F.pmod(F.xxhash64("rep"), F.col("_blocks")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("_parts"))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     queries = full.filter("comp <> _top").select("grp", own_block.alias("block"), each("_parts").alias("part"), F.lit(0).alias("kind"), "rep", "comp", "bands", "text")
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = members.filter("c <> rep")
     # Of a class's centres, the one it shares most bands with comes first; the rest is left to step 4.
     first = cut(met.groupBy(F.col("rep").alias("x")).agg(F.max(F.struct("_n", (-F.col("c")).alias("_c"))).alias("_m")).select((-F.col("_m._c")).alias("c"), "x"))
-    texts = d.withColumnRenamed("doc_id", "id").join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    texts = d.withColumnRenamed("doc_id", "id").join(members.select(F.col("rep").alias("id")).distinct().hint("merge"), "id", "left_semi")
     texts = cut(texts.dropDuplicates(["id"]))
     links = cut(confirmed(first, texts))
     comps = cut(connected_components(links))
