@@ -1,10 +1,11 @@
 """Benchmark decontamination by template windows.
 
 Texts and benchmark items are made templates: numbers, names and units become typed placeholders,
-other words are lower-cased without outer punctuation. Windows of eight template words are joined by
-hash, hits are aligned, and the values in the placeholders of an alignment must map one to one. A
-question that was given other numbers or names is found as ``reparameterised``, an unchanged one as
-``exact``.
+other words are case-folded (all letters) without outer punctuation. Windows of eight template words
+are joined by hash, hits are aligned, and the values in the placeholders of an alignment must map one
+to one. Beside them the windows of the plain case-folded words are joined, so that a copy of the same
+words is found whatever its case, which decides what is a name. A question that was given other
+numbers or names is found as ``reparameterised``, an unchanged one as ``exact``.
 
 The benchmark is the bounded side: it's read in blocks of at most BLOCK_BYTES of text, so that what
 goes to executors has a fixed size and a benchmark of any size is handled by more blocks.
@@ -45,6 +46,8 @@ _NUMERIC = _DIGIT.copy()
 _NUMERIC[list(b".,:/-+%")] = 1
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?:;\n\"(")] = True
+#: Capital letters by code point, as bits.
+_CAPITAL = np.packbits([chr(i).isupper() or chr(i).istitle() for i in range(1 << 16)])
 _UNIT_HASH = np.sort(Words([u.encode() for u in UNITS], strip=True).hash)
 
 
@@ -53,12 +56,25 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(at, len(sorted_values) - 1)] == x
 
 
+def _folded(text: bytes) -> bytes:
+    """Case-folded; no fold makes or removes white space or outer punctuation, so words stay words."""
+    return text if text.isascii() else text.decode("utf-8", "surrogatepass").casefold().encode("utf-8", "surrogatepass")
+
+
+def _capital(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a capital letter of one to three bytes begins at each place."""
+    a, b, c = (raw[np.minimum(at + i, len(raw) - 1)].astype(np.int64) for i in range(3))
+    code = np.where(a < 0xC0, a, np.where(a < 0xE0, (a & 0x1F) << 6 | b & 0x3F, np.where(a < 0xF0, (a & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F, 0)))
+    return (_CAPITAL[code >> 3] >> (7 - (code & 7)) & 1).astype(bool)
+
+
 class Template:
     """Template words of some texts: ``hash`` with placeholders, ``value`` without, ``kind`` and text bounds ``first``."""
 
     def __init__(self, texts: list[bytes]) -> None:
         w = Words(texts, strip=True)
-        self.value, self.first = w.hash, w.first
+        folded = [_folded(x) for x in texts]
+        self.value, self.first = w.hash if folded == texts else Words(folded, strip=True).hash, w.first
         kind = np.zeros(len(w.hash), dtype=np.int8)
         if len(kind):
             raw = w.raw
@@ -71,7 +87,7 @@ class Template:
                 kind[at] = np.where(numeric | (w.end[at] - w.start[at] <= 12), NUMBER, LITERAL)
                 unit = np.flatnonzero(kind[:-1] == NUMBER) + 1
                 unit = unit[kind[unit] == LITERAL]
-                kind[unit[_member(_UNIT_HASH, w.hash[unit])]] = UNIT
+                kind[unit[_member(_UNIT_HASH, self.value[unit])]] = UNIT
             second = raw[np.minimum(w.start + 1, len(raw) - 1)]
             upper = ((head >= 65) & (head <= 90)) | ((head == 0xC3) & (second >= 0x80) & (second <= 0x9E))
             # A capital inside a sentence makes a name; words in capitals are emphasis.
@@ -80,19 +96,19 @@ class Template:
             inner[w.first[:-1][w.first[:-1] < len(kind)]] = False
             newline = np.concatenate(([0], np.cumsum(raw == 10)))
             inner[1:] &= newline[w.start[1:]] == newline[w.last[:-1]]
-            shouted = (second >= 65) & (second <= 90)
+            shouted = _capital(raw, w.start + np.where(head < 0x80, 1, 2)) & (w.start + np.where(head < 0x80, 1, 2) < w.end)
             kind[upper & inner & ~shouted & (kind == LITERAL)] = NAME
         self.kind = kind
-        self.hash = np.where(kind == LITERAL, w.hash, _TYPE_HASH[kind])
+        self.hash = np.where(kind == LITERAL, self.value, _TYPE_HASH[kind])
 
 
 @dataclass
 class Items:
-    """A block of the benchmark: window hashes by length, sorted, and the items' words."""
+    """A block of the benchmark: window hashes by (length, plain), sorted, and the items' words."""
 
     ids: list[int]
     template: Template
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
+    windows: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
     def of(ids: list[int], texts: list[str]) -> Items:
@@ -101,17 +117,18 @@ class Items:
         item_of = np.repeat(np.arange(len(ids)), length)
         out = Items(ids, t)
         for k in sorted({min(WINDOW, int(n)) for n in length if n >= MIN_WORDS}):
-            h, start = rolled(t.hash, k), np.arange(max(0, len(t.hash) - k + 1))
+            start = np.arange(max(0, len(t.hash) - k + 1))
             own = item_of[start]
             fits = (start + k <= t.first[own + 1]) & ((length[own] >= WINDOW) if k == WINDOW else (length[own] == k))
             # At least half of a window must be literal words, else anything would match.
             literal = np.concatenate(([0], np.cumsum(t.kind == LITERAL)))
             fits &= 2 * (literal[start + k] - literal[start]) >= k
-            h, start, own = h[fits], start[fits], own[fits]
-            order = np.argsort(h, kind="stable")
-            seen = np.zeros(1 << 16, dtype=bool)
-            seen[h >> np.uint64(48)] = True
-            out.windows[k] = (h[order], start[order], own[order], seen)
+            for plain, words in ((False, t.hash), (True, t.value)):
+                h, at = rolled(words, k)[fits], start[fits]
+                order = np.argsort(h, kind="stable")
+                seen = np.zeros(1 << 16, dtype=bool)
+                seen[h >> np.uint64(48)] = True
+                out.windows[k, plain] = (h[order], at[order], own[at[order]], seen)
         return out
 
 
@@ -127,9 +144,9 @@ def _consistent(pairs: list[tuple[int, int, int]]) -> tuple[bool, bool]:
 def matches(items: Items, texts: list[bytes]) -> dict[int, list[tuple[int, str, float, int]]]:
     """Per text number: (item id, kind, covered part, longest run in words) of every item it holds."""
     t = Template(texts)
-    found: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
-    for k, (h, start, own, seen) in items.windows.items():
-        mine = rolled(t.hash, k)
+    found: dict[tuple[int, int, int], list[tuple[int, int, bool]]] = {}
+    for (k, plain), (h, start, own, seen) in items.windows.items():
+        mine = rolled(t.value if plain else t.hash, k)
         at = np.flatnonzero(seen[mine >> np.uint64(48)])
         at = at[_member(h, mine[at])] if len(h) and len(at) else at[:0]
         text = np.searchsorted(t.first, at, side="right") - 1
@@ -138,22 +155,26 @@ def matches(items: Items, texts: list[bytes]) -> dict[int, list[tuple[int, str,
             lo, hi = np.searchsorted(h, mine[p], "left"), np.searchsorted(h, mine[p], "right")
             for j in range(lo, hi):
                 s, i = int(start[j]), int(own[j])
-                found.setdefault((d, i, p - s), []).append((s, k))
+                found.setdefault((d, i, p - s), []).append((s, k, plain))
     it = items.template
     covered: dict[tuple[int, int], list] = {}
     for (d, i, shift), hits in found.items():
         mask = np.zeros(int(it.first[i + 1] - it.first[i]), dtype=bool)
-        for s, k in hits:
-            mask[s - it.first[i] : s - it.first[i] + k] = True
+        for s, k, plain in hits:
+            if not plain:
+                mask[s - it.first[i] : s - it.first[i] + k] = True
         where = np.flatnonzero(mask) + it.first[i]
         slots = where[it.kind[where] != LITERAL]
         ok, same = _consistent([(int(it.kind[x]), int(it.value[x]), int(t.value[x + shift])) for x in slots])
         if not ok:  # the values clash: only windows without placeholders stand
             mask[:] = False
-            for s, k in hits:
-                if (it.kind[s : s + k] == LITERAL).all():
+            for s, k, plain in hits:
+                if not plain and (it.kind[s : s + k] == LITERAL).all():
                     mask[s - it.first[i] : s - it.first[i] + k] = True
             same = True
+        for s, k, plain in hits:  # the same words: nothing to map
+            if plain:
+                mask[s - it.first[i] : s - it.first[i] + k] = True
         if mask.any():
             sum_ = covered.setdefault((d, i), [np.zeros(len(mask), dtype=bool), True])
             sum_[0] |= mask

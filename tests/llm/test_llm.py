@@ -387,6 +387,18 @@ def test_leaks_with_other_numbers_and_names(spark, odd, empty, monkeypatch):
     assert de.drop_leaks(odd, bench).count() == len(ODD) and de.drop_leaks(odd, bench.filter("false")).columns == odd.columns and de.find_leaks(empty, bench).count() == 0
 
 
+def test_leaks_in_capitals(spark):
+    from tessera.llm import decontaminate as de
+
+    item = "L'été dernier, a good friend of Éonleeau and I walked à côté de la rivière with 12 dogs, où Ségolène dormait."
+    other = item.upper().replace("12", "15").replace("SÉGOLÈNE", "ÉLÉONORE")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = spark.createDataFrame([(1, f"x {item.upper()} y"), (2, item.lower()), (3, other)], "doc_id long, text string")
+    got = {r.doc_id: (r.kind, r.covered) for r in de.find_leaks(rows, bench).collect()}
+    assert got[1] == got[2] == ("exact", 1.0) and 3 in got
+    assert (de.Template(["so ÉONLEEAU ÉTAIT là".encode()]).kind == de.LITERAL).all()
+
+
 def test_licenses(spark, odd, empty):
     from tessera.llm.licenses import scan_licenses
 
