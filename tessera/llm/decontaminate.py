@@ -10,6 +10,9 @@ numbers or names is found as ``reparameterised``, an unchanged one as ``exact``.
 The benchmark is the bounded side: it's read in blocks of at most BLOCK_BYTES of text, so that what
 goes to executors has a fixed size and a benchmark of any size is handled by more blocks.
 
+Template windows with under half literal words would match anything, so they aren't used; the plain
+windows of every item of MIN_WORDS words are, so an item of numbers or names is found word for word.
+
 Defined results: null and empty texts match nothing; items under MIN_WORDS words are never matched;
 items under eight words are one window of their own length; equal items are each reported; texts are
 read whole; other columns are ignored.
@@ -120,11 +123,11 @@ class Items:
             start = np.arange(max(0, len(t.hash) - k + 1))
             own = item_of[start]
             fits = (start + k <= t.first[own + 1]) & ((length[own] >= WINDOW) if k == WINDOW else (length[own] == k))
-            # At least half of a window must be literal words, else anything would match.
+            # With placeholders, at least half of a window must be literal words, else anything would match.
             literal = np.concatenate(([0], np.cumsum(t.kind == LITERAL)))
-            fits &= 2 * (literal[start + k] - literal[start]) >= k
-            for plain, words in ((False, t.hash), (True, t.value)):
-                h, at = rolled(words, k)[fits], start[fits]
+            typed = fits & (2 * (literal[start + k] - literal[start]) >= k)
+            for plain, words, some in ((False, t.hash, typed), (True, t.value, fits)):
+                h, at = rolled(words, k)[some], start[some]
                 order = np.argsort(h, kind="stable")
                 seen = np.zeros(1 << 16, dtype=bool)
                 seen[h >> np.uint64(48)] = True

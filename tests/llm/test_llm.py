@@ -399,6 +399,16 @@ def test_leaks_in_capitals(spark):
     assert (de.Template(["so ÉONLEEAU ÉTAIT là".encode()]).kind == de.LITERAL).all()
 
 
+def test_leaks_of_items_with_few_literal_words(spark):
+    from tessera.llm import decontaminate as de
+
+    short, long = "Compute 12 x 7 - 3 + 15 / 5", "Add 1 2 3 4 5 6 7 8 9 10 11 12 13 14"
+    bench = spark.createDataFrame([(1, short), (2, long)], "item_id long, text string")
+    texts = [f"now {short}, please", f"see {long} and so on", short.replace("12", "13"), "Add 14 13 12 11 10 9 8 7 6 5 4 3 2 1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.kind) for r in de.find_leaks(rows, bench).collect()} == {(0, 1, "exact"), (1, 2, "exact")}
+
+
 def test_licenses(spark, odd, empty):
     from tessera.llm.licenses import scan_licenses
 
