@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Offsets that share a bucket in the interval join.
 BUCKET = 64
+#: Parts of a text that are placed at once.
+PIECE = 64
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:
@@ -75,14 +77,23 @@ def parse_markers(text: Column, name: str = "MARK") -> Column:
 
 
 def word_tokens(text: Column) -> Column:
-    """Tokens of runs of letters, runs of digits and single other signs, as (index, start, end, text).
+    """Tokens of runs of letters, runs of digits and single other signs, as (start, end, text).
 
-    ``text`` is cut at every token's end by pattern, so offsets are sums of lengths and count code points.
+    ``text`` is cut at every token's end by pattern, so offsets are sums of lengths and count code points. Parts are
+    placed in pieces of PIECE, as an array that grows by one is copied each time.
     """
     parts = F.regexp_extract_all(text, F.lit("(?s)(\\s+|\\p{L}+|[0-9]+|.)"), F.lit(1))
-    empty = F.expr("named_struct('at', 0L, 'out', cast(array() AS array<struct<start: bigint, end: bigint, text: string>>))")
-    step = lambda s, p: F.struct((s["at"] + F.length(p)).cast("long").alias("at"), F.when(p.rlike("^\\s"), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(p)).cast("long").alias("end"), p.alias("text"))))).alias("out"))
-    return F.aggregate(parts, empty, step, lambda s: s["out"])
+    empty = F.expr("cast(array() AS array<struct<start: bigint, end: bigint, text: string>>)")
+    ends = lambda at, p: (at + F.length(p)).cast("long")
+    token = lambda at, p: F.array(F.struct(at.alias("start"), ends(at, p).alias("end"), p.alias("text")))
+    space = lambda p: F.ascii(p).isin(9, 10, 11, 12, 13, 32)
+    step = lambda s, p: F.struct(ends(s["at"], p).alias("at"), F.when(space(p), s["out"]).otherwise(F.concat(s["out"], token(s["at"], p))).alias("out"))
+    placed = lambda piece, at: F.aggregate(piece, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    pieces = lambda p: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(p) - 1, F.lit(0)) / PIECE).cast("int")), lambda i: F.slice(p, i * PIECE + 1, PIECE))
+    total = lambda piece: F.aggregate(piece, F.lit(0).cast("long"), ends)
+    starts = lambda ps: F.aggregate(ps, F.expr("named_struct('at', 0L, 'out', cast(array() AS array<bigint>))"), lambda s, x: F.struct((s["at"] + total(x)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")), lambda s: s["out"])
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  evaluated once
+    return bound(parts, lambda p: bound(pieces(p), lambda ps: F.flatten(F.zip_with(ps, starts(ps), placed))))
 
 
 def overlap_join(tokens: DataFrame, spans: DataFrame, doc: str) -> DataFrame:

@@ -206,3 +206,13 @@ def test_manifest_and_writers(spark, tmp_path):
 
 def test_learning_rate_and_entropy_are_math(spark):
     assert math.isclose(one(spark, F.log2(F.lit(8.0))), 3.0)
+
+
+def test_word_tokens_of_whole_texts(spark):
+    import re
+
+    texts = ["Añb 12,c!\n\n x", "", None, " ", "word 1! " * 3000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string").select("id", sp.word_tokens(F.col("t")).alias("w")).collect()
+    for i, got in rows:
+        want = None if texts[i] is None else [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+|[0-9]+|\S", texts[i])]
+        assert (got if got is None else [tuple(x) for x in got]) == want

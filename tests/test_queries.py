@@ -51,3 +51,10 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_word_tokens_reads_whole_texts(spark, duck):
+    got = {r.doc_id: (r.n_tokens, r.n_covered) for r in catalog.queries()["word_tokens"](spark, SF).collect()}
+    sql = catalog.oracle_sql()["word_tokens"].replace("left(text, 300)", "text")
+    assert got == {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
