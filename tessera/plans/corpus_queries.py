@@ -143,10 +143,16 @@ def audit_rounds(spark, sf_dir):
 
 @query("WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, lang, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (ORDER BY turn, lang) AS BIGINT) AS place FROM t WHERE turn <= 25")
 def round_robin_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    t = co.first_per_group(table(spark, sf_dir, "documents").select("doc_id", "lang"), ["lang"], [F.col("doc_id")], 25, "turn")
-    return t.select("doc_id", "lang", F.col("turn").cast("long").alias("turn"), F.row_number().over(Window.orderBy("turn", "lang")).cast("long").alias("place"))
+    """All documents in turns of their languages; a place is one more than the rows of earlier turns and of earlier
+    languages of the same turn, which follow from the size of each language, so no task orders all rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    # One row; as long as there are languages.
+    sizes = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).agg(F.collect_list(F.struct("lang", "n")).alias("_sizes"))
+    turn = F.col("turn").cast("long")
+    first = lambda s: (s["lang"] < F.col("lang")) | (s["lang"].isNotNull() & F.col("lang").isNull())  # noqa: E731  null comes last
+    before = lambda s: F.least(s["n"], turn - 1) + F.when((s["n"] >= turn) & F.coalesce(first(s), F.lit(False)), 1).otherwise(0)
+    t = co.round_robin(d, ["lang"], [F.col("doc_id")]).crossJoin(F.broadcast(sizes))
+    return t.select("doc_id", "lang", turn.alias("turn"), (F.aggregate("_sizes", F.lit(0).cast("long"), lambda n, s: n + before(s)) + 1).alias("place"))
 
 
 @query(f"SELECT source, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT sha256(coalesce({_N}, ''))) AS BIGINT) AS n_distinct, CAST(count(*) FILTER (coalesce({_N}, '') = '') AS BIGINT) AS n_empty, CAST(sum(length(text)) AS BIGINT) AS n_chars, CAST(count(DISTINCT lang) AS BIGINT) AS n_langs FROM documents GROUP BY source")

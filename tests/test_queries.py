@@ -58,3 +58,12 @@ def test_word_tokens_reads_whole_texts(spark, duck):
     got = {r.doc_id: (r.n_tokens, r.n_covered) for r in catalog.queries()["word_tokens"](spark, SF).collect()}
     sql = catalog.oracle_sql()["word_tokens"].replace("left(text, 300)", "text")
     assert got == {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
+
+
+def test_round_robin_orders_all_documents(spark, tmp_path):
+    langs = ["en"] * 40 + ["de"] * 3 + [None] * 2 + ["fr"] * 30
+    spark.createDataFrame([(i, x) for i, x in enumerate(langs)], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(sum(x == y for y in langs[: i + 1]), x is None, x or "", i) for i, x in enumerate(langs)]
+    want = [(i, turn, place) for place, (turn, _, _, i) in enumerate(sorted(turns), 1)]
+    got = [(r.doc_id, r.turn, r.place) for r in catalog.queries()["round_robin_order"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
