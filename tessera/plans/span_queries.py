@@ -61,13 +61,13 @@ _SPANS = "WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS n, CAST(l_quantit
 
 @query(_SPANS + ", m AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM s) SELECT doc, CAST(sum(greatest(0, b - greatest(a, reach))) AS BIGINT) AS covered FROM m GROUP BY doc")
 def span_union_coverage(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 3000").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity") + 1 + F.col("l_linenumber") * 3).cast("long").alias("b"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_quantity").cast("long").alias("a"), (F.col("l_quantity") + 1 + F.col("l_linenumber") * 3).cast("long").alias("b"))
     return sp.union_length(l, ["doc"], "a", "b")
 
 
 @query(_SPANS + ", t AS (SELECT DISTINCT doc, CAST(i AS BIGINT) AS i, CAST(i * 4 AS BIGINT) AS x, CAST(i * 4 + 4 AS BIGINT) AS y FROM s, (SELECT unnest(range(0, 16)) AS i)), j AS (SELECT t.doc, i, x, y, n, c FROM t JOIN (SELECT doc, n, unnest(range(a, b)) AS c FROM s) USING (doc) WHERE c >= x AND c < y), g AS (SELECT doc, i, list_sort(list(DISTINCT 'r' || n)) AS l, count(DISTINCT c) AS k FROM j GROUP BY ALL) SELECT t.doc, t.i AS index, list_sort(CASE WHEN coalesce(k, 0) < 4 THEN list_append(coalesce(l, []), 'unchanged') ELSE l END) AS labels FROM t LEFT JOIN g ON g.doc = t.doc AND g.i = t.i")
 def token_label_join(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 3000")
+    l = table(spark, sf_dir, "lineitem")
     spans = l.select(F.col("l_orderkey").alias("doc"), F.concat(F.lit("r"), "l_linenumber").alias("label"), F.col("l_quantity").cast("long").alias("s_start"), (F.col("l_quantity") + 1 + F.col("l_linenumber") * 3).cast("long").alias("s_end"))
     index = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))).alias("index")
     tokens = spans.select("doc").distinct().select("doc", index).select("doc", "index", (F.col("index") * 4).alias("start"), (F.col("index") * 4 + 4).alias("end"))

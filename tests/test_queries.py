@@ -67,3 +67,25 @@ def test_round_robin_orders_all_documents(spark, tmp_path):
     want = [(i, turn, place) for place, (turn, _, _, i) in enumerate(sorted(turns), 1)]
     got = [(r.doc_id, r.turn, r.place) for r in catalog.queries()["round_robin_order"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
+
+
+def brute_cover(rows):
+    """Per order: characters covered by its spans, and the labels of its tokens of four characters."""
+    spans, cover, labels = {}, {}, {}
+    for order, line, quantity in rows:
+        spans.setdefault(order, []).append((f"r{line}", range(quantity, quantity + 1 + line * 3)))
+    for order, own in spans.items():
+        cover[order] = len({c for _, r in own for c in r})
+        for i in range(16):
+            token = set(range(4 * i, 4 * i + 4))
+            hit = sorted(name for name, r in own if token & set(r))
+            labels[order, i] = hit + ["unchanged"] * (not token <= {c for _, r in own for c in r})
+    return cover, {k: sorted(v) for k, v in labels.items()}
+
+
+def test_spans_of_all_orders(spark, tmp_path):
+    rows = [(o, n, (o * 7 + n * 11) % 50 + 1) for o in (1, 3000, 3001, 149999) for n in range(1, 5)]
+    spark.createDataFrame([(o, n, float(q)) for o, n, q in rows], "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    cover, labels = brute_cover(rows)
+    assert {r.doc: r.covered for r in catalog.queries()["span_union_coverage"](spark, str(tmp_path)).collect()} == cover
+    assert {(r["doc"], r["index"]): r["labels"] for r in catalog.queries()["token_label_join"](spark, str(tmp_path)).collect()} == labels
