@@ -43,13 +43,13 @@ def semantic_differences(a: DataFrame, b: DataFrame, keys: list[str], value: str
 def topological_order(edges: DataFrame, record: str = "record") -> DataFrame:
     """Per record, node and place in the order that always takes the smallest free name; a cycle gives places of null.
 
-    Graphs of one record are small (tens of nodes), records are spread over tasks.
+    Graphs of one record are small (tens of nodes); a batch holds many records, as a call for each costs more than its order.
     """
 
-    def order(frame: pd.DataFrame) -> pd.DataFrame:
+    def order(sources: list[str], targets: list[str]) -> list[dict]:
         after: dict[str, list[str]] = {}
         waits: dict[str, int] = {}
-        for s, t in zip(frame["source"], frame["target"], strict=True):
+        for s, t in zip(sources, targets, strict=True):
             after.setdefault(s, []).append(t)
             waits[t] = waits.get(t, 0) + 1
             waits.setdefault(s, 0)
@@ -63,11 +63,15 @@ def topological_order(edges: DataFrame, record: str = "record") -> DataFrame:
                 waits[t] -= 1
                 if not waits[t]:
                     heappush(free, t)
-        rows = [(n, float(i)) for i, n in enumerate(placed)] + [(n, None) for n, w in sorted(waits.items()) if w > 0]
-        return pd.DataFrame({"record": frame[record].iloc[0], "node": [r[0] for r in rows], "place": pd.array([r[1] for r in rows], dtype="Int64")})
+        return [{"node": n, "place": i} for i, n in enumerate(placed)] + [{"node": n, "place": None} for n, w in sorted(waits.items()) if w > 0]
 
-    kind = dict(edges.dtypes)[record]
-    return edges.groupBy(record).applyInPandas(order, f"record {kind}, node string, place long")
+    @F.pandas_udf("array<struct<node: string, place: bigint>>")
+    def orders(sources: pd.Series, targets: pd.Series) -> pd.Series:
+        return pd.Series([order(s, t) for s, t in zip(sources, targets, strict=True)], dtype=object)
+
+    per = edges.groupBy(record).agg(F.collect_list(F.struct("source", "target")).alias("_e"))
+    placed = per.select(record, orders(F.col("_e.source"), F.col("_e.target")).alias("_o"))
+    return placed.select(F.col(record).alias("record"), F.explode("_o").alias("_o")).select("record", "_o.node", "_o.place")
 
 
 def propagate(rows: DataFrame, rules: list[tuple[str, list[str], Column]]) -> DataFrame:

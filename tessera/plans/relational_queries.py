@@ -137,7 +137,7 @@ def fail_closed_join(spark, sf_dir):
 @query("""WITH o AS (SELECT o_orderkey AS item, o_custkey % 37 AS owner, o_orderpriority AS stratum, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WHERE o_orderkey <= 2000),
 d AS (SELECT a.item, a.owner, a.stratum, b.item AS donor, row_number() OVER (PARTITION BY a.item ORDER BY (b.i - a.i + a.n) % a.n) AS r FROM o a JOIN o b ON a.stratum = b.stratum AND a.owner <> b.owner) SELECT item, owner, stratum, donor FROM d WHERE r = 1""")
 def donor_circular(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey <= 2000").select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 37).alias("owner"), F.col("o_orderpriority").alias("stratum"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 37).alias("owner"), F.col("o_orderpriority").alias("stratum"))
     return pa.circular_donors(o, "item", "owner", "stratum")
 
 
@@ -225,7 +225,7 @@ def dag_propagation(spark, sf_dir):
 
 @query()
 def topological_order(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").filter("l_orderkey <= 2000").select(F.col("l_orderkey").alias("record"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("source"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("target"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("source"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("target"))
     return cl.topological_order(l.distinct())
 
 

@@ -89,3 +89,21 @@ def test_spans_of_all_orders(spark, tmp_path):
     cover, labels = brute_cover(rows)
     assert {r.doc: r.covered for r in catalog.queries()["span_union_coverage"](spark, str(tmp_path)).collect()} == cover
     assert {(r["doc"], r["index"]): r["labels"] for r in catalog.queries()["token_label_join"](spark, str(tmp_path)).collect()} == labels
+
+
+def test_donors_of_all_orders(spark, tmp_path):
+    rows = [(k, (k * 13) % 5 if k % 3 else 4, "ab"[k % 2]) for k in [*range(12), 2000, *range(2001, 2030), 149999]]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {}
+    for k, owner, stratum in rows:
+        own = sorted(x for x in rows if x[2] == stratum)
+        at = own.index((k, owner, stratum))
+        want[k] = next(x[0] for x in own[at + 1 :] + own[:at] if x[1] != owner)
+    assert {r["item"]: r["donor"] for r in catalog.queries()["donor_circular"](spark, str(tmp_path)).collect()} == want
+
+
+def test_topological_order_of_all_orders(spark, tmp_path):
+    rows = [(k, 10 * k + n, n) for k in (1, 2000, 2001, 149999) for n in (1, 2, 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(r["record"], r["place"]): r["node"] for r in catalog.queries()["topological_order"](spark, str(tmp_path)).collect()}
+    assert got == {(k, i): n for k in (1, 2000, 2001, 149999) for i, n in enumerate(["s1", "s2", "s3", "t1", "t2", "t3"])}
