@@ -112,12 +112,23 @@ def vec_participation_recovery(spark, sf_dir):
     return r.select("vec_id", F.round(l1 * l1 / l2, 8).alias("participation"), F.when(F.abs(base) > 1e-12, F.round((base - ve.dot(d, d)) / base, 8)).alias("recovered"))
 
 
+#: Vectors of a block that is searched at once.
+_SEARCHED = 512
+
+
 @query(_Z + ", b AS (SELECT vec_id, label, list(CASE WHEN z > 0 THEN i END) FILTER (z > 0) AS s FROM z GROUP BY ALL), q AS (SELECT * FROM b WHERE vec_id < 20), t AS (SELECT q.vec_id, b.vec_id AS other, len(list_intersect(q.s, b.s)) / CAST(len(list_distinct(list_concat(q.s, b.s))) AS DOUBLE) AS sim FROM q JOIN b ON b.label = q.label AND b.vec_id <> q.vec_id) SELECT vec_id, other, round(sim, 9) AS sim FROM t QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY abs(sim - 0.3), other) = 1")
 def nearest_to_target(spark, sf_dir):
-    """For 20 stated query vectors, the vector of their label whose Tanimoto similarity is nearest to 0.3."""
+    """For each vector whose id is divisible by 20, the vector of its label whose Tanimoto similarity is nearest to 0.3.
+
+    Vectors of a label are held in blocks of about _SEARCHED, to each of which the label's queries go, so that a label
+    of any size is spread.
+    """
     s = _rows(spark, sf_dir).select("vec_id", "label", F.expr("filter(transform(z, (v, i) -> if(v > 0, i, -1)), i -> i >= 0)").alias("s"))
-    q = s.filter("vec_id < 20").select("vec_id", "label", F.col("s").alias("qs"))
-    j = s.select(F.col("vec_id").alias("other"), "label", "s").join(F.broadcast(q), "label").filter("other <> vec_id")  # 20 rows
+    blocks = s.groupBy("label").agg((F.floor(F.count(F.lit(1)) / _SEARCHED) + 1).alias("_blocks"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)).alias("_block")
+    q = s.filter("vec_id % 20 = 0").join(blocks, "label").select("vec_id", "label", each, F.col("s").alias("qs"))
+    others = s.join(blocks, "label").select(F.col("vec_id").alias("other"), "label", F.pmod(F.xxhash64("vec_id"), F.col("_blocks")).alias("_block"), "s")
+    j = others.hint("shuffle_hash").join(q, ["label", "_block"]).filter("other <> vec_id")
     sim = F.size(F.array_intersect("qs", "s")) / F.size(F.array_union("qs", "s")).cast("double")
     best = j.select("vec_id", F.struct(F.abs(sim - 0.3).alias("d"), F.col("other"), sim.alias("sim")).alias("b")).groupBy("vec_id").agg(F.min("b").alias("b"))
     return best.select("vec_id", F.col("b.other").alias("other"), F.round("b.sim", 9).alias("sim"))

@@ -107,3 +107,15 @@ def test_topological_order_of_all_orders(spark, tmp_path):
     spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = {(r["record"], r["place"]): r["node"] for r in catalog.queries()["topological_order"](spark, str(tmp_path)).collect()}
     assert got == {(k, i): n for k in (1, 2000, 2001, 149999) for i, n in enumerate(["s1", "s2", "s3", "t1", "t2", "t3"])}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("searched", [7, 512])
+def test_nearest_searches_every_twentieth_vector(spark, duck, monkeypatch, searched):
+    from tessera.plans import vector_queries
+
+    monkeypatch.setattr(vector_queries, "_SEARCHED", searched)
+    got = {r.vec_id: (r.other, r.sim) for r in catalog.queries()["nearest_to_target"](spark, SF).collect()}
+    sql = catalog.oracle_sql()["nearest_to_target"].replace("vec_id < 20", "vec_id % 20 = 0")
+    want = {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
+    assert got == want and len(got) == 25
