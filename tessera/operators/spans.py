@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Offsets that share a bucket in the interval join.
 BUCKET = 64
 #: Parts of a text that are placed at once.
-PIECE = 64
+PIECE = 16
 
 
 def piece(text: Column, start: Column, end: Column) -> Column:

@@ -118,8 +118,10 @@ def canonical_json_digest(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z\\x{C0}-\\x{24F}]+|[0-9]+|[^\\sA-Za-z\\x{C0}-\\x{24F}0-9]')) AS BIGINT) AS n_tokens, CAST(length(regexp_replace(t, '\\s', '', 'g')) AS BIGINT) AS n_covered FROM (SELECT doc_id, left(text, 300) AS t FROM documents)")
 def word_tokens(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", sp.word_tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.aggregate("t", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"]).alias("n_covered"))
+    covered = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    # Both from one array: as two columns over it the texts would be cut twice.
+    both = F.transform(F.array(sp.word_tokens(F.col("text"))), lambda t: F.struct(F.size(t).cast("long").alias("n_tokens"), covered(t).alias("n_covered")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(both))
 
 
 @query("SELECT event_id, list_filter([CASE WHEN event_id % 4 = 0 THEN 'overlap' END, CASE WHEN event_id % 4 = 1 THEN 'shared_start' END, CASE WHEN event_id % 4 = 2 THEN 'no_op' END], lambda x: x IS NOT NULL) AS faults FROM events")
