@@ -86,6 +86,23 @@ def test_near_dup_finds_links_that_no_centre_has(spark):
     assert got == {d: c for d, (_, c) in brute_components(rows).items()}
 
 
+def test_near_dup_misses_a_pair_as_seldom_as_stated():
+    from math import lgamma
+
+    import numpy as np
+
+    from tessera.llm import near_dup as nd
+
+    above, below = np.array([(a, b) for a in range(nd.M + 1) for b in range(nd.M + 1 - a)]).T
+    equal, ln = nd.M - above - below, np.array([lgamma(i + 1) for i in range(nd.M + 1)])
+    j = nd.PERCENT / 100
+    for ratio in (1, 0.97, 0.95, 0.9, 0.85, 0.8):
+        u, v = ratio / (1 + ratio), 1 / (1 + ratio)
+        p = np.exp(ln[nd.M] - ln[above] - ln[below] - ln[equal] + above * np.log(u - v * j) + below * np.log(v - u * j) + equal * np.log(j))
+        low = p[nd.joint_estimate(np.array(ratio), np.array(1.0), above, below, equal) < nd.ESTIMATE].sum()
+        assert abs(p.sum() - 1) < 1e-9 and low <= 1.3e-8 and (1 - j**nd.ROWS) ** nd.BANDS + low < 1e-7
+
+
 def test_near_dup_of_odd_rows(odd, empty):
     from tessera.llm.near_dup import keep_one, near_duplicates
 
