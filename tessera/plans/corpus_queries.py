@@ -141,7 +141,7 @@ def audit_rounds(spark, sf_dir):
     return one.select("doc_id", "source", F.lit(1).alias("round")).unionByName(two.select("doc_id", "source", F.lit(2).alias("round")))
 
 
-@query("WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, lang, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (ORDER BY turn, lang) AS BIGINT) AS place FROM t WHERE turn <= 25")
+@query("WITH t AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS turn FROM documents) SELECT doc_id, lang, CAST(turn AS BIGINT) AS turn, CAST(row_number() OVER (ORDER BY turn, lang NULLS LAST) AS BIGINT) AS place FROM t")
 def round_robin_order(spark, sf_dir):
     """All documents in turns of their languages; a place is one more than the rows of earlier turns and of earlier
     languages of the same turn, which follow from the size of each language, so no task orders all rows."""

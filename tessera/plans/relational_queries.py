@@ -117,9 +117,9 @@ def condition_join(spark, sf_dir):
     return j.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("treatment") - F.col("baseline")), 9).alias("mean_delta"), F.count_if(F.col("treatment") > F.col("baseline")).alias("n_up"))
 
 
-@query("WITH m AS (SELECT conv_id, min(CASE WHEN role = 'user' THEN sha256(text) END) AS u, min(CASE WHEN role = 'assistant' THEN sha256(text) END) AS a, count(*) FILTER (role = 'user') = 1 AND count(*) FILTER (role = 'assistant') = 1 AND count(*) = 2 AS complete FROM conversations WHERE turn < 2 GROUP BY conv_id) SELECT conv_id, u AS \"user\", a AS assistant, complete FROM m")
+@query("WITH m AS (SELECT conv_id, min(CASE WHEN role = 'user' THEN sha256(text) END) AS u, min(CASE WHEN role = 'assistant' THEN sha256(text) END) AS a, count(*) FILTER (role = 'user') = 1 AND count(*) FILTER (role = 'assistant') = 1 AND count(*) = 2 AS complete FROM conversations GROUP BY conv_id) SELECT conv_id, u AS \"user\", a AS assistant, complete FROM m")
 def pair_pivot(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("turn < 2").select("conv_id", "role", tx.digest(F.col("text")).alias("sha"))
+    c = table(spark, sf_dir, "conversations").select("conv_id", "role", tx.digest(F.col("text")).alias("sha"))
     return pa.pivot_pairs(c, "conv_id", "role", ["user", "assistant"], "sha")
 
 
@@ -134,8 +134,12 @@ def fail_closed_join(spark, sf_dir):
     return pa.join_issues(l, r, "id", ["source", "n_chars"], ("raw", "process")).na.fill("", ["field"])
 
 
-@query("""WITH o AS (SELECT o_orderkey AS item, o_custkey % 37 AS owner, o_orderpriority AS stratum, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders WHERE o_orderkey <= 2000),
-d AS (SELECT a.item, a.owner, a.stratum, b.item AS donor, row_number() OVER (PARTITION BY a.item ORDER BY (b.i - a.i + a.n) % a.n) AS r FROM o a JOIN o b ON a.stratum = b.stratum AND a.owner <> b.owner) SELECT item, owner, stratum, donor FROM d WHERE r = 1""")
+@query("""WITH o AS (SELECT o_orderkey AS item, o_custkey % 37 AS owner, o_orderpriority AS stratum FROM orders),
+own AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY item) AS i, count(*) OVER (PARTITION BY stratum) AS n FROM o),
+twice AS (SELECT item, owner, stratum, i, i AS k FROM own UNION ALL SELECT item, owner, stratum, i, i + n FROM own),
+heads AS (SELECT *, owner IS DISTINCT FROM lag(owner) OVER (PARTITION BY stratum ORDER BY k) AS head FROM twice),
+ahead AS (SELECT *, min(CASE WHEN head THEN k END) OVER (PARTITION BY stratum ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS at FROM heads)
+SELECT a.item, a.owner, a.stratum, t.item AS donor FROM ahead a LEFT JOIN twice t ON t.stratum = a.stratum AND t.k = a.at WHERE a.k = a.i""")
 def donor_circular(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 37).alias("owner"), F.col("o_orderpriority").alias("stratum"))
     return pa.circular_donors(o, "item", "owner", "stratum")
@@ -282,7 +286,7 @@ def stream_ingest(spark, sf_dir):
 def manifest_hash(spark, sf_dir):
     from tessera.sources.readers import file_hashes
 
-    return file_hashes(spark, f"{sf_dir}/nation.parquet").select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_bytes", "sha256")
+    return file_hashes(spark, sf_dir).select(F.element_at(F.split("path", "/"), -1).alias("file"), "n_bytes", "sha256")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 9 = 0 THEN 'duplicate_key' WHEN event_id % 9 = 1 THEN 'non_finite' WHEN event_id % 9 = 2 THEN 'syntax' WHEN event_id % 9 = 3 THEN 'empty' ELSE 'none' END AS issue FROM events")

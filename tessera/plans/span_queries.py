@@ -56,7 +56,7 @@ def marker_parse(spark, sf_dir):
     return p.select("id", F.col("p.text").alias("clean"), m(0, "id").alias("first_id"), m(0, "start").cast("int").alias("first_start"), m(0, "end").cast("int").alias("first_end"), m(1, "start").cast("int").alias("second_start"))
 
 
-_SPANS = "WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity + 1 + l_linenumber * 3 AS BIGINT) AS b FROM lineitem WHERE l_orderkey <= 3000)"
+_SPANS = "WITH s AS (SELECT l_orderkey AS doc, l_linenumber AS n, CAST(l_quantity AS BIGINT) AS a, CAST(l_quantity + 1 + l_linenumber * 3 AS BIGINT) AS b FROM lineitem)"
 
 
 @query(_SPANS + ", m AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM s) SELECT doc, CAST(sum(greatest(0, b - greatest(a, reach))) AS BIGINT) AS covered FROM m GROUP BY doc")
@@ -116,7 +116,7 @@ def canonical_json_digest(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), tx.digest(j).alias("sha"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z\\x{C0}-\\x{24F}]+|[0-9]+|[^\\sA-Za-z\\x{C0}-\\x{24F}0-9]')) AS BIGINT) AS n_tokens, CAST(length(regexp_replace(t, '\\s', '', 'g')) AS BIGINT) AS n_covered FROM (SELECT doc_id, left(text, 300) AS t FROM documents)")
+@query("SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z\\x{C0}-\\x{24F}]+|[0-9]+|[^\\sA-Za-z\\x{C0}-\\x{24F}0-9]')) AS BIGINT) AS n_tokens, CAST(length(regexp_replace(t, '\\s', '', 'g')) AS BIGINT) AS n_covered FROM (SELECT doc_id, text AS t FROM documents)")
 def word_tokens(spark, sf_dir):
     covered = lambda t: F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     # Both from one array: as two columns over it the texts would be cut twice.

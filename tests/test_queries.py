@@ -56,7 +56,7 @@ def test_entry(spark):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_word_tokens_reads_whole_texts(spark, duck):
     got = {r.doc_id: (r.n_tokens, r.n_covered) for r in catalog.queries()["word_tokens"](spark, SF).collect()}
-    sql = catalog.oracle_sql()["word_tokens"].replace("left(text, 300)", "text")
+    sql = catalog.oracle_sql()["word_tokens"]
     assert got == {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
 
 
@@ -116,6 +116,6 @@ def test_nearest_searches_every_twentieth_vector(spark, duck, monkeypatch, searc
 
     monkeypatch.setattr(vector_queries, "_SEARCHED", searched)
     got = {r.vec_id: (r.other, r.sim) for r in catalog.queries()["nearest_to_target"](spark, SF).collect()}
-    sql = catalog.oracle_sql()["nearest_to_target"].replace("vec_id < 20", "vec_id % 20 = 0")
+    sql = catalog.oracle_sql()["nearest_to_target"]
     want = {r[0]: r[1:] for r in duck.execute(sql).fetchall()}
     assert got == want and len(got) == 25
