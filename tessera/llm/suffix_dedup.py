@@ -2,24 +2,29 @@
 
 Every 200-byte string that starts twice is found, in whole texts:
 
-1. Each window start p has an anchor, the first least hash among the 64-byte strings that start in
-   [p, p + REACH); equal windows have equal anchors at equal distance. Anchors whose 64 bytes occur
-   once end here: their windows can't repeat.
-2. The other anchors' suffixes (with the bytes before them that their windows need) are sorted into
-   runs, front-coded against their predecessor, and exchanged by the hash of their first 64 bytes.
-   Loser trees merge the runs; each node keeps the common prefix with the last winner, so known
-   prefixes are never compared again. Suffixes that share 64 bytes or more come out together.
-3. Among those, windows are told apart by 64-bit fingerprints of their 200 bytes.
-4. Strings that occur over HOT times would gather in one task; their windows are counted by
-   fingerprint over all tasks instead, after each task has merged its own equal ones.
-
-The anchors' repeated strings are broadcast up to GRAMS of them (8 bytes each); beyond that they go
-back to their documents by joins.
+1. Each window start p has an anchor, the first least hash among the 64-byte strings inside its window;
+   equal windows have equal anchors at equal distance. Neighbouring windows with one anchor form a
+   context: the bytes from the anchor on, and those before it.
+2. Anchors are counted by a shuffle of their hashes, and those that occur twice or more go back to their
+   documents by a join. The others end here: their windows can't repeat. (Anchors so frequent that they
+   would skew the join, at most HEAVY of them, are broadcast.)
+3. The contexts left are sorted into runs, front-coded against their predecessor, and exchanged by the
+   hash of their anchor. Loser trees merge the runs; each node keeps the common prefix with the last
+   winner, so known prefixes are never compared again.
+4. The common prefixes of neighbours in merged order decide, exactly: two windows at distance d from their
+   anchors are equal if and only if the contexts agree in 200 - d bytes from the anchor on, that is, no
+   neighbour between them shares less, and in d bytes before it, which the order of the bytes before the
+   anchor tells in the same way. Equal contexts are settled as soon as they meet, in the run or in the merge.
+5. An anchor that occurs over HOT times, beyond what one task should hold, has its contexts split into
+   single windows, which go by their own hash to the same merge; of those only windows whose hash occurs
+   twice travel. Hashes route and prune; they never decide.
+
+There is one plan for all sizes; step 5's extra pass runs if such an anchor exists.
 
 Defined results: a null text is empty; documents never share a match across their ends; documents
 under 200 bytes keep everything; equal rows are copies of each other and lose all their 200-byte
 strings; ids may repeat or be null; texts are cut into segments inside, which overlap so that none
-is lost; other columns are ignored.
+is lost; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,21 +37,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import _TABLES, frames, mix64, share
+from tessera.llm.words import _TABLES, frames, mix64
 from tessera.session import cut
 
-LENGTH, GRAM, REACH = 200, 64, 128
+LENGTH, GRAM = 200, 64
+#: 64-byte strings inside a window.
+REACH = LENGTH - GRAM + 1
 #: Bytes of a segment of a very long text.
 SEGMENT = 1 << 21
-#: Most repeated strings that are broadcast, occurrences that one task may gather, suffixes of a task.
-GRAMS, HOT, PER_TASK = 4_000_000, 20_000, 40_000
-#: Bytes of suffixes that a task sorts at a time.
+#: Occurrences of an anchor that one task may gather; contexts of a task.
+HOT, PER_TASK = 200_000, 40_000
+#: Most keys whose rows are kept out of a join's shuffle.
+HEAVY = 4096
+#: Bytes of contexts that a task sorts at a time.
 RUN_BYTES = 8 << 20
 #: Bytes of text whose anchors are found at once; a dozen arrays of eight bytes for each stand beside it.
 BATCH = 1 << 20
 #: Stands for a null id.
 NO_ID = -(1 << 63)
-_WIDTH = LENGTH + REACH
+#: Most bytes of a context.
+_WIDTH = LENGTH + REACH - 1
 
 
 class Anchors:
@@ -68,7 +78,7 @@ class Anchors:
             self.gram = np.empty(0, dtype=np.uint64)
             return
         up, down = _TABLES.get(len(raw) + 1)
-        sums = np.empty(len(raw) + 1, dtype=np.uint64)
+        self.sums = sums = np.empty(len(raw) + 1, dtype=np.uint64)
         sums[0] = 0
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
         gram = mix64((sums[GRAM:] - sums[:-GRAM]) * down[:n])
@@ -76,11 +86,11 @@ class Anchors:
         low = np.uint64(25)
         least = ((gram >> low) << low) | np.arange(n, dtype=np.uint64)
         step = 1
-        while step < REACH:
-            shorter = least[:-step] if len(least) > step else least
-            least = np.minimum(shorter, least[step:]) if len(least) > step else least
+        while 2 * step <= REACH:
+            least = np.minimum(least[:-step], least[step:])
             step *= 2
-        # Starts near the end of raw have no full reach there, but then they aren't valid starts.
+        if step < REACH:
+            least = np.minimum(least[: step - REACH], least[REACH - step :])
         anchor = (least[starts] & np.uint64((1 << 25) - 1)).astype(np.int64)
         new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
         self.first = starts[new]
@@ -89,6 +99,15 @@ class Anchors:
         self.text = np.searchsorted(ends, self.first, side="right")
         self.gram = gram[self.anchor]
 
+    def starts(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(run, start) of every window of the runs ``at``."""
+        count = self.last[at] - self.first[at] + 1
+        return np.repeat(at, count), np.arange(count.sum()) + np.repeat(self.first[at] - np.cumsum(count) + count, count)
+
+    def prints(self, starts: np.ndarray) -> np.ndarray:
+        """Hashes of the windows that start at ``starts``."""
+        return mix64((self.sums[starts + LENGTH] - self.sums[starts]) * _TABLES.get(len(self.raw) + 1)[1][starts])
+
 
 def pieces(frame: pd.DataFrame, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """(ids, text hashes, byte offsets, texts), with very long texts cut into segments that overlap by LENGTH - 1."""
@@ -101,11 +120,41 @@ def pieces(frame: pd.DataFrame, texts: list[bytes]) -> Iterator[tuple[np.ndarray
             yield ids[i : i + 1], hashes[i : i + 1], np.array([a]), [t[a : a + SEGMENT + LENGTH - 1]]
 
 
-def _count_grams(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _counted(ids: np.ndarray, hashes: np.ndarray, text: np.ndarray, keys: np.ndarray) -> pd.DataFrame:
+    """Rows (id, th, key, n): how often each text has each key."""
+    order = np.lexsort((keys, text))
+    t, k = text[order], keys[order]
+    new = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))) if len(t) else np.empty(0, dtype=np.int64)
+    return pd.DataFrame({"id": ids[t[new]], "th": hashes[t[new]], "key": k[new].view(np.int64), "n": np.diff(np.concatenate((new, [len(t)])))})
+
+
+def _own_anchors(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame, texts in frames(rows, "text", BATCH):
+        for ids, hashes, _, part in pieces(frame, texts):
+            x = Anchors(part)
+            yield _counted(ids, hashes, x.text, x.gram)
+
+
+def _own_windows(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of hot anchors."""
     for frame, texts in frames(rows, "text", BATCH):
-        for _, _, _, part in pieces(frame, texts):
-            values, counts = np.unique(Anchors(part).gram, return_counts=True)
-            yield pd.DataFrame({"gram": values.view(np.int64), "n": counts})
+        busy = _union(frame["hot"])
+        for ids, hashes, _, part in pieces(frame, texts):
+            x = Anchors(part)
+            run, start = x.starts(np.flatnonzero(_in(busy, x.gram)))
+            yield _counted(ids, hashes, x.text[run], x.prints(start) if len(start) else np.empty(0, dtype=np.uint64))
+
+
+def _union(lists: pd.Series) -> np.ndarray:
+    """The distinct values of a column of arrays of longs, sorted, as unsigned."""
+    some = [np.asarray(x, dtype=np.int64) for x in lists if x is not None]
+    return np.unique(np.concatenate(some).view(np.uint64)) if some else np.empty(0, dtype=np.uint64)
+
+
+def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(x), dtype=bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
 
 
 def front_coded(keys: list[bytes]) -> tuple[np.ndarray, bytes]:
@@ -122,8 +171,8 @@ def front_coded(keys: list[bytes]) -> tuple[np.ndarray, bytes]:
     return common, b"".join(k[c:] for k, c in zip(keys, common.tolist(), strict=True))
 
 
-#: What a run holds besides its keys: id, text hash, first start, bytes before the anchor.
-_FIELDS = 4
+#: What a run holds besides its keys: id, text hash, first start, bytes before the anchor, whether all windows are known to repeat.
+_FIELDS = 5
 
 
 def pack(keys: list[bytes], meta: np.ndarray) -> bytes:
@@ -222,28 +271,37 @@ def merged(runs: list[Iterator]) -> Iterator[tuple[bytes, int, list]]:
             node //= 2
 
 
-def window_prints(contexts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all 200-byte windows of each context, one context after the other, and their numbers."""
-    count = np.array([len(c) - LENGTH + 1 for c in contexts])
-    up, down = _TABLES.get(_WIDTH + 1)
-    out = []
-    for i in range(0, len(contexts), 1024):
-        part = contexts[i : i + 1024]
-        grid = np.frombuffer(b"".join(c.ljust(_WIDTH, b"\0") for c in part), dtype=np.uint8).reshape(len(part), _WIDTH)
-        sums = np.zeros((len(part), _WIDTH + 1), dtype=np.uint64)
-        np.cumsum((grid.astype(np.uint64) + np.uint64(1)) * up[:_WIDTH], axis=1, out=sums[:, 1:])
-        prints = (sums[:, LENGTH:] - sums[:, : _WIDTH - LENGTH + 1]) * down[: _WIDTH - LENGTH + 1]
-        out.append(prints[np.arange(prints.shape[1]) < count[i : i + 1024, None]])
-    return mix64(np.concatenate(out)) if out else np.empty(0, dtype=np.uint64), count
+def repeated_windows(keys: list[bytes], common: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of contexts in merged order occur twice, one context after the other, and how many each has.
 
-
-def repeated_among(prints: np.ndarray) -> np.ndarray:
-    """Which of the values occur twice or more."""
-    s = np.sort(prints)
-    twice = s[1:][s[1:] == s[:-1]]
-    if not len(twice):
-        return np.zeros(len(prints), dtype=bool)
-    return twice[np.minimum(np.searchsorted(twice, prints), len(twice) - 1)] == prints
+    ``common`` holds each key's common prefix with the one before. At distance d from the anchor, contexts fall into
+    classes where neighbours share 200 - d bytes from the anchor on, and where neighbours in the order of the bytes
+    before it share d of those; windows are equal where both classes are.
+    """
+    n, back = len(keys), meta[:, 3]
+    low = LENGTH - (np.array([len(k) for k in keys]) - back)
+    count = back - low + 1
+    begin = np.cumsum(count) - count
+    flags = np.repeat(meta[:, 4] == 1, count)
+    left = [k[len(k) - b :] for k, b in zip(keys, back.tolist(), strict=True)]
+    order = np.array(sorted(range(n), key=left.__getitem__))
+    grid = np.frombuffer(b"".join([left[i].ljust(REACH, b"\0") for i in order]), dtype=np.uint8).reshape(n, REACH)
+    shared, rank = np.zeros(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    differs = grid[1:] != grid[:-1]
+    size = back[order]
+    shared[1:] = np.minimum(np.where(differs.any(axis=1), differs.argmax(axis=1), REACH), np.minimum(size[1:], size[:-1]))
+    bits = int(n).bit_length()
+    for d in range(int(low.min()), int(back.max()) + 1):
+        on = np.flatnonzero((low <= d) & (d <= back))
+        if len(on) < 2:
+            continue
+        pair = np.cumsum(common < LENGTH - d)[on] * (n + 1) + np.cumsum(shared < d)[rank[on]]
+        v = np.sort((pair << bits) | on)
+        same = (v[1:] >> bits) == (v[:-1] >> bits)
+        hit = v[np.concatenate((same, [False])) | np.concatenate(([False], same))] & ((1 << bits) - 1)
+        flags[begin[hit] + back[hit] - d] = True
+    return flags, count
 
 
 def spans_of(flags: np.ndarray, count: np.ndarray, ids: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> pd.DataFrame:
@@ -263,41 +321,55 @@ _RUN = "task long, kind int, blob binary"
 _SPAN = "id long, th long, a long, b long"
 
 
-def _runs(grams, hot, n_tasks: int):
-    """Sorted runs of suffixes (kind 0) and fingerprints of hot windows (kind 1) for each task."""
+def _last_end(key: bytes, m: list) -> int:
+    """Where a context's last window ends."""
+    return m[2] + len(key)
+
+
+def _runs(n_tasks: int):
+    """Sorted runs of contexts (kind 1) and spans that are settled already (kind 0), each with its task."""
 
     def emit(held: dict) -> Iterator[tuple]:
         for task, (keys, meta) in held.items():
-            yield task, 0, pack(keys, np.array(meta, dtype=np.int64))
+            keep, spans, seen = [], [], {}
+            for i, (k, m) in enumerate(zip(keys, meta, strict=True)):
+                j = seen.setdefault((k, m[3]), i)
+                if j == i:
+                    keep.append(i)
+                else:
+                    meta[j][4] = 1
+                    spans.append((m[0], m[1], m[2], _last_end(k, m)))
+            yield task, 1, pack([keys[i] for i in keep], np.array([meta[i] for i in keep], dtype=np.int64))
+            if spans:
+                yield task, 0, np.array(spans, dtype=np.int64).tobytes()
 
     def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = {}, 0
         for frame, texts in frames(rows, "text", BATCH):
-            known = grams() if grams else np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["grams"]]).view(np.uint64))
-            busy = hot() if grams else np.unique(np.concatenate([np.asarray(x, dtype=np.int64) for x in frame["hot"]] or [np.empty(0, dtype=np.int64)]).view(np.uint64))
+            known, busy, windows = (_union(frame[c]) for c in ("grams", "hot", "windows"))
             for ids, hashes, offset, part in pieces(frame, texts):
                 x = Anchors(part)
                 at = np.flatnonzero(_in(known, x.gram))
                 begin = np.concatenate(([0], np.cumsum([len(t) for t in part])))
-                own = x.text[at]
-                first = x.first[at] - begin[own] + offset[own]
                 raw = x.raw.tobytes()
                 heat = _in(busy, x.gram[at])
-                prints, wheres = [], []
-                for j, (k, o, f) in enumerate(zip(at.tolist(), own.tolist(), first.tolist(), strict=True)):
-                    lo, mid, hi = int(x.first[k]), int(x.anchor[k]), int(x.last[k]) + LENGTH
-                    if heat[j]:
-                        prints.append(raw[lo:hi])
-                        wheres.append((ids[o], hashes[o], f))
-                        continue
-                    task = int(x.gram[k] % np.uint64(n_tasks))
-                    keys, meta = held.setdefault(task, ([], []))
-                    keys.append(raw[mid:hi] + raw[lo:mid][::-1])
-                    meta.append((ids[o], hashes[o], f, mid - lo))
-                    size += hi - lo
-                if prints:
-                    out = _hot_rows(prints, np.array(wheres, dtype=np.int64), n_tasks)
-                    yield pd.DataFrame(out, columns=["task", "kind", "blob"])
+                plain = at[~heat]
+                single, start = x.starts(at[heat])
+                if len(single):
+                    prints = x.prints(start)
+                    some = _in(windows, prints)
+                    single, start, prints = single[some], start[some], prints[some]
+                else:
+                    prints = np.empty(0, dtype=np.uint64)
+                lo, mid, hi = (np.concatenate(v) for v in ((x.first[plain], start), (x.anchor[plain], start), (x.last[plain] + LENGTH, start + LENGTH)))
+                own = x.text[np.concatenate((plain, single))]
+                tasks = (np.concatenate((x.gram[plain], prints)) % np.uint64(n_tasks)).astype(np.int64)
+                meta = np.stack([ids[own], hashes[own], lo - begin[own] + offset[own], mid - lo, np.zeros(len(own), dtype=np.int64)], axis=1)
+                for task, a, m, b, row in zip(tasks.tolist(), lo.tolist(), mid.tolist(), hi.tolist(), meta.tolist(), strict=True):
+                    keys, rest = held.setdefault(task, ([], []))
+                    keys.append(raw[m:b] + raw[a:m][::-1])
+                    rest.append(row)
+                size += int((hi - lo).sum())
                 if size > RUN_BYTES:
                     yield pd.DataFrame(list(emit(held)), columns=["task", "kind", "blob"])
                     held, size = {}, 0
@@ -306,106 +378,77 @@ def _runs(grams, hot, n_tasks: int):
     return run
 
 
-def _in(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), dtype=bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
-
-
-def _hot_rows(contexts: list[bytes], where: np.ndarray, n_tasks: int) -> list[tuple]:
-    """Fingerprint rows (print, id, hash, start, known): of those equal here one goes on as known to repeat.
-
-    The others are settled and travel as kind 2.
-    """
-    prints, count = window_prints(contexts)
-    own = np.repeat(np.arange(len(count)), count)
-    start = np.arange(len(prints)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count) + where[own, 2]
-    twice = repeated_among(prints)
-    _, one = np.unique(prints, return_index=True)
-    first = np.zeros(len(prints), dtype=bool)
-    first[one] = True
-    table = np.stack([prints.view(np.int64), where[own, 0], where[own, 1], start, twice.astype(np.int64)], axis=1)
-    task = (prints % np.uint64(n_tasks)).astype(np.int64)
-    out = []
-    for kind, chosen in ((1, first), (2, twice & ~first)):
-        rows, to = table[chosen], task[chosen]
-        order = np.argsort(to, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-            if len(part):
-                out.append((int(to[part[0]]), kind, rows[part].tobytes()))
-    return out
-
-
-def _resolve(keys: list[bytes], meta: list) -> pd.DataFrame:
-    m = np.array(meta, dtype=np.int64)
-    contexts = [(k[len(k) - b :][::-1] if b else b"") + k[: len(k) - b] for k, b in zip(keys, m[:, 3].tolist(), strict=True)]
-    prints, count = window_prints(contexts)
-    return spans_of(repeated_among(prints), count, m[:, 0], m[:, 1], m[:, 2])
+def settled(entries: Iterator[tuple[bytes, int, list]]) -> Iterator[pd.DataFrame]:
+    """Spans of the windows that occur twice among contexts in merged order (key, common prefix with the one before, meta)."""
+    keys, commons, meta, copies = [], [], [], []
+
+    def done() -> pd.DataFrame:
+        m = np.array(meta, dtype=np.int64)
+        flags, count = repeated_windows(keys, np.array(commons), m)
+        out = spans_of(flags, count, m[:, 0], m[:, 1], m[:, 2])
+        return pd.concat([out, pd.DataFrame(copies, columns=["id", "th", "a", "b"])]) if copies else out
+
+    for key, common, m in entries:
+        if keys and common == len(key) == len(keys[-1]) and m[3] == meta[-1][3]:  # an equal context
+            meta[-1][4] = 1
+            copies.append((m[0], m[1], m[2], _last_end(key, m)))
+            if m[4] or len(copies) < PER_TASK:
+                continue
+            yield pd.DataFrame(copies, columns=["id", "th", "a", "b"])
+            copies = []
+            continue
+        if common < GRAM and len(keys) >= PER_TASK // 2:
+            yield done()
+            keys, commons, meta, copies = [], [], [], []
+        keys.append(key)
+        commons.append(common)
+        meta.append(m)
+    if keys:
+        yield done()
 
 
 def _merge_task(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (task, kind): merges each task's runs and settles classes of equal 64-byte heads together."""
-
-    def settle(runs: list[bytes], hot: list[bytes]) -> Iterator[pd.DataFrame]:
-        keys, meta = [], []
-        for key, common, m in merged([unpack(b) for b in runs]):
-            if common < GRAM and len(keys) >= PER_TASK // 2:
-                yield _resolve(keys, meta)
-                keys, meta = [], []
-            keys.append(key)
-            meta.append(m)
-        if keys:
-            yield _resolve(keys, meta)
-        if hot:
-            t = np.frombuffer(b"".join(hot), dtype=np.int64).reshape(-1, 5)
-            again = t[repeated_among(t[:, 0].view(np.uint64)) | (t[:, 4] == 1)]
-            yield pd.DataFrame({"id": again[:, 1], "th": again[:, 2], "a": again[:, 3], "b": again[:, 3] + LENGTH})
-
-    task, runs, hot = None, [], []
+    """Rows sorted by (task, kind): passes settled spans on and merges each task's runs."""
+    task, runs = None, []
     for frame in rows:
         for t, kind, blob in zip(frame["task"], frame["kind"], frame["blob"], strict=True):
             if t != task:
-                yield from settle(runs, hot)
-                task, runs, hot = t, [], []
-            if kind == 2:
-                x = np.frombuffer(blob, dtype=np.int64).reshape(-1, 5)
-                yield pd.DataFrame({"id": x[:, 1], "th": x[:, 2], "a": x[:, 3], "b": x[:, 3] + LENGTH})
+                yield from settled(merged([unpack(b) for b in runs]))
+                task, runs = t, []
+            if kind == 0:
+                yield pd.DataFrame(np.frombuffer(blob, dtype=np.int64).reshape(-1, 4), columns=["id", "th", "a", "b"])
             else:
-                (hot if kind else runs).append(blob)
-    yield from settle(runs, hot)
-
-
-def repeated_spans(docs: DataFrame, hot: int = HOT, grams_bound: int = GRAMS) -> DataFrame:
-    """docs: (id, th, text). Rows (id, th, a, b): byte ranges that repeated windows cover; ranges may overlap."""
-    spark = docs.sparkSession
-    counted = docs.select("id", "th", "text").mapInPandas(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter("n > 1")
-    grams = cut(counted)
-    total = grams.agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum(F.when(F.col("n") <= hot, F.col("n"))), F.lit(0)).alias("n"), F.count_if(F.col("n") > hot).alias("h")).first()
-    n_tasks = 1 + total["n"] // PER_TASK + total["h"] // 4
-    if total["k"] <= grams_bound:
-        # Eight bytes each, packed by task: the driver never holds them as rows.
-        got = grams.select("gram", (F.col("n") > hot).alias("hot")).mapInPandas(_packed, "known binary, hot binary").collect()
-        joined = lambda c: np.sort(np.frombuffer(b"".join(r[c] for r in got), dtype=np.uint64))
-        known, busy = share(spark, joined("known")), share(spark, joined("hot"))
-        runs = docs.select("id", "th", "text").mapInPandas(_runs(known, busy, n_tasks), _RUN)
-    else:
-        own = docs.select("id", "th", "text").mapInPandas(_own_grams, "id long, th long, gram long")
-        wanted = own.join(grams, "gram").groupBy("id", "th").agg(F.collect_set("gram").alias("grams"), F.collect_set(F.when(F.col("n") > hot, F.col("gram"))).alias("hot"))
-        runs = docs.join(wanted, ["id", "th"]).select("id", "th", "text", "grams", "hot").mapInPandas(_runs(None, None, n_tasks), _RUN)
-    return runs.repartition(int(n_tasks), "task").sortWithinPartitions("task", "kind").mapInPandas(_merge_task, _SPAN)
-
-
-def _packed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in rows:
-        known = frame["gram"].to_numpy(dtype=np.int64)
-        yield pd.DataFrame({"known": [known.tobytes()], "hot": [known[frame["hot"].to_numpy(dtype=bool)].tobytes()]})
-
-
-def _own_grams(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame, texts in frames(rows, "text", BATCH):
-        for ids, hashes, _, part in pieces(frame, texts):
-            x = Anchors(part)
-            yield pd.DataFrame({"id": ids[x.text], "th": hashes[x.text], "gram": x.gram.view(np.int64)}).drop_duplicates()
+                runs.append(blob)
+    yield from settled(merged([unpack(b) for b in runs]))
+
+
+def _repeated(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """own: (id, th, key, n). The keys that occur twice or more (key, total), and their rows of ``own``."""
+    own = cut(own)
+    counts = cut(own.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1"))
+    every = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()["t"]
+    busy = F.col("total") > every // HEAVY + 1  # so at most HEAVY keys
+    heavy = F.broadcast(counts.filter(busy))
+    few = own.join(heavy.select("key"), "key", "left_anti").join(counts.filter(~busy), "key")
+    return counts, few.unionByName(own.join(heavy, "key")).select("id", "th", "key", "total")
+
+
+def repeated_spans(named: DataFrame, hot: int = HOT) -> DataFrame:
+    """named: (id, th, text, ...). Rows (id, th, a, b): byte ranges that repeated windows cover; ranges may overlap."""
+    texts = named.select("id", "th", "text")
+    counts, rows = _repeated(texts.mapInPandas(_own_anchors, "id long, th long, key long, n long"))
+    wanted = rows.groupBy("id", "th").agg(F.collect_set("key").alias("grams"), F.collect_set(F.when(F.col("total") > hot, F.col("key"))).alias("hot"))
+    n = counts.agg(F.coalesce(F.sum(F.when(F.col("total") <= hot, F.col("total"))), F.lit(0)).alias("n"), F.count_if(F.col("total") > hot).alias("h")).first()
+    size, windows = n["n"], F.lit(None).cast("array<bigint>").alias("windows")
+    held = named.join(wanted, ["id", "th"])
+    if n["h"]:
+        again = texts.join(wanted.filter(F.size("hot") > 0).select("id", "th", "hot"), ["id", "th"])
+        known, found = _repeated(again.mapInPandas(_own_windows, "id long, th long, key long, n long"))
+        size += known.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
+        held, windows = held.join(found.groupBy("id", "th").agg(F.collect_set("key").alias("windows")), ["id", "th"], "left"), "windows"
+    n_tasks = int(1 + size // PER_TASK)
+    runs = held.select("id", "th", "text", "grams", "hot", windows).mapInPandas(_runs(n_tasks), _RUN)
+    return runs.repartitionById(n_tasks, F.col("task").cast("int")).sortWithinPartitions("task", "kind").mapInPandas(_merge_task, _SPAN)
 
 
 def union_of(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -434,13 +477,13 @@ def _cut_out(keep_bytes: bool):
 _RESULT = "id long, null_id boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = HOT, grams_bound: int = GRAMS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """Per row: id, n_bytes, n_removed, n_spans, kept_sha256 and, if wanted, the remaining bytes as ``kept``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("id"), F.col(id_col).isNull().alias("null_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    spans = repeated_spans(named, hot, grams_bound)
-    # A text's ranges are about one for each anchor, so a small part of the text's own size.
-    per = spans.groupBy("id", "th").agg(F.collect_list("a").alias("lo"), F.collect_list("b").alias("hi"))
-    out = named.join(per, ["id", "th"], "left").select("id", "null_id", "text", "lo", "hi").mapInPandas(_cut_out(keep_bytes), _RESULT)
+    # A text's ranges are about one for each anchor, so a small part of the text's own size; rows that agree share them.
+    per = repeated_spans(named, hot).groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("_s"))
+    ranges = per.select("id", "th", F.col("_s.a").alias("lo"), F.col("_s.b").alias("hi"))
+    out = named.join(ranges, ["id", "th"], "left").select("id", "null_id", "text", "lo", "hi").mapInPandas(_cut_out(keep_bytes), _RESULT)
     fields = ("n_bytes", "n_removed", "n_spans", "kept_sha256", *(("kept",) if keep_bytes else ()))
     return out.select(F.when(~F.col("null_id"), F.col("id")).alias(id_col), *fields)

@@ -143,7 +143,7 @@ def brute_repeats(rows, length=200):
     return out
 
 
-@pytest.mark.parametrize("settings", [{}, {"hot": 1}, {"grams_bound": 1}, {"grams_bound": 1, "hot": 2}])
+@pytest.mark.parametrize("settings", [{}, {"hot": 1}, {"hot": 3}])
 def test_repeats_equal_brute_force(spark, settings):
     from tessera.llm.suffix_dedup import remove_repeats
 
@@ -185,13 +185,29 @@ def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(2)
     for n_runs in (1, 2, 3, 7):
         runs = [[bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 30))] for _ in range(n_runs)]
-        got = list(merged([unpack(pack(r, np.zeros((len(r), 4), dtype=np.int64))) for r in runs]))
+        got = list(merged([unpack(pack(r, np.zeros((len(r), 5), dtype=np.int64))) for r in runs]))
         want = sorted(k for r in runs for k in r)
         assert [g[0] for g in got] == want
         for (a, _, _), (b, common, _) in zip(got, got[1:], strict=False):
             assert common == len(os.path.commonprefix([a, b]))
 
 
+def test_merged_prefixes_decide():
+    """The same contexts with another common prefix give other spans: nothing else tells windows apart."""
+    from tessera.llm import suffix_dedup as sd
+
+    text = b"ab" * 130
+    keys = [text[:199] + b"a", text[:199] + b"z"]
+    spans = lambda c: [r for f in sd.settled(iter([(keys[0], 0, [1, 0, 0, 0, 0]), (keys[1], c, [2, 0, 0, 0, 0])])) for r in f[["id", "a", "b"]].to_numpy().tolist()]
+    assert spans(199) == [] and sorted(spans(200)) == [[1, 0, 200], [2, 0, 200]]
+
+
+@needs_data
+def test_repeats_equal_brute_force_on_the_tables(spark, docs):
+    got = q.op3_repeats(spark, SF).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == sorted(brute_repeats(docs))
+
+
 @needs_data
 def test_pii_equals_plain_patterns(docs):
     from tessera.llm.pii import BASE, KINDS, luhn, spans
