@@ -6,8 +6,7 @@ Every 200-byte string that starts twice is found, in whole texts:
    equal windows have equal anchors at equal distance. Neighbouring windows with one anchor form a
    context: the bytes from the anchor on, and those before it.
 2. Anchors are counted by a shuffle of their hashes, and those that occur twice or more go back to their
-   documents by a join. The others end here: their windows can't repeat. (Anchors so frequent that they
-   would skew the join, at most HEAVY of them, are broadcast.)
+   documents by a join. The others end here: their windows can't repeat.
 3. The contexts left are sorted into runs, front-coded against their predecessor, and exchanged by the
    hash of their anchor. Loser trees merge the runs; each node keeps the common prefix with the last
    winner, so known prefixes are never compared again.
@@ -37,7 +36,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import _TABLES, frames, mix64
+from tessera.llm.words import _TABLES, frames, keyed_join, mix64
 from tessera.session import cut
 
 LENGTH, GRAM = 200, 64
@@ -47,8 +46,6 @@ REACH = LENGTH - GRAM + 1
 SEGMENT = 1 << 21
 #: Occurrences of an anchor that one task may gather; contexts of a task.
 HOT, PER_TASK = 200_000, 40_000
-#: Most keys whose rows are kept out of a join's shuffle.
-HEAVY = 4096
 #: Bytes of contexts that a task sorts at a time.
 RUN_BYTES = 8 << 20
 #: Bytes of text whose anchors are found at once; a dozen arrays of eight bytes for each stand beside it.
@@ -426,11 +423,7 @@ def _repeated(own: DataFrame) -> tuple[DataFrame, DataFrame]:
     """own: (id, th, key, n). The keys that occur twice or more (key, total), and their rows of ``own``."""
     own = cut(own)
     counts = cut(own.groupBy("key").agg(F.sum("n").alias("total")).filter("total > 1"))
-    every = counts.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("t")).first()["t"]
-    busy = F.col("total") > every // HEAVY + 1  # so at most HEAVY keys
-    heavy = F.broadcast(counts.filter(busy))
-    few = own.join(heavy.select("key"), "key", "left_anti").join(counts.filter(~busy), "key")
-    return counts, few.unionByName(own.join(heavy, "key")).select("id", "th", "key", "total")
+    return counts, keyed_join(own, counts, "key", "total").select("id", "th", "key", "total")
 
 
 def repeated_spans(named: DataFrame, hot: int = HOT) -> DataFrame:

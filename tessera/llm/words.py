@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _RNG = np.random.RandomState(20_240_611)
 _BYTE = _RNG.randint(1, 1 << 62, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -18,6 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 #: Most bytes of text that are hashed at once; longer texts are taken alone.
 BATCH_BYTES = 1 << 21
+#: Most keys whose rows are kept out of a join's shuffle.
+HEAVY = 4096
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -161,6 +165,18 @@ def frames(rows: Iterator[pd.DataFrame], text: str, limit: int = BATCH_BYTES) ->
             yield frame.iloc[first : first + len(held)], held
 
 
+def keyed_join(rows: DataFrame, keys: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of rows with keys (one row for each key; ``n`` says how many rows have it), safe against hot keys.
+
+    Keys that hold over one HEAVY-th of all rows, so at most HEAVY of them, are broadcast, and their rows aren't shuffled.
+    """
+    every = keys.agg(F.coalesce(F.sum(n), F.lit(0)).alias("t")).first()["t"]
+    busy = F.col(n) > every // HEAVY + 1
+    heavy = F.broadcast(keys.filter(busy))
+    few = rows.join(heavy.select(key), key, "left_anti").join(keys.filter(~busy), key)
+    return few.unionByName(rows.join(heavy, key))
+
+
 def share(spark, value):
     """Broadcasts ``value`` once, by value, and returns a function that gives it on an executor."""
     sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), {}
