@@ -186,4 +186,5 @@ def share(spark, value):
             held["value"] = pickle.loads(sent.value)
         return held["value"]
 
+    get.sent = sent
     return get

@@ -428,16 +428,86 @@ def test_leaks_with_other_numbers_and_names(spark, odd, empty, monkeypatch):
 
     item = "The train leaves Paris at 5 pm with 120 passengers and after 3 hours Maria counts 90 kg of luggage in the last car."
     other = "He said the train leaves Rome at 7 pm with 240 passengers and after 4 hours Anna counts 80 kg of luggage in the last car!"
-    clash = other.replace("after 4 hours", "after 7 hours")
+    equal = other.replace("after 4 hours", "after 7 hours")  # two numbers that differed are equal now
     bench = spark.createDataFrame([(1, item), (2, None), (3, "short"), (None, item), (4, "apples and red pears")], "item_id long, text string")
-    rows = spark.createDataFrame([(1, f"x y. {item} z"), (2, other), (3, clash), (4, "nothing of the kind here at all"), (5, None), (6, "I like apples and red pears.")], "doc_id long, text string")
+    rows = spark.createDataFrame([(1, f"x y. {item} z"), (2, other), (3, equal), (4, "nothing of the kind here at all"), (5, None), (6, "I like apples and red pears.")], "doc_id long, text string")
     for size in (1 << 20, 1):
         monkeypatch.setattr(de, "BLOCK_BYTES", size)
         got = {(r.doc_id, r.item_id, r.kind) for r in de.find_leaks(rows, bench).collect()}
-        assert got == {(1, 1, "exact"), (2, 1, "reparameterised"), (6, 4, "exact")}
+        assert got == {(1, 1, "exact"), (2, 1, "reparameterised"), (3, 1, "reparameterised"), (6, 4, "exact")}
     assert de.drop_leaks(odd, bench).count() == len(ODD) and de.drop_leaks(odd, bench.filter("false")).columns == odd.columns and de.find_leaks(empty, bench).count() == 0
 
 
+NAMES = "Maria Anna Tom Peter Olga Ravi Chen Lucy Omar Nina Hugo Ella".split()
+THINGS = "apples marbles tickets bottles stamps pencils crates chairs plates shells coins lamps bricks candles baskets ropes".split()
+PLACES = "market harbour library school garden station bakery workshop museum stadium theatre farm".split()
+ASKED = (
+    "{a} buys {m} {x} at the {p} and gives {n} of the {x} to {b} before lunch. Then {a} loses {k} more {x} on the way home. How many {x} are left?",
+    "On Monday {a} carried {m} kg of {x} to the {p}, and {b} carried {n} kg of {y} back. The trip took {k} hours. What was the total weight of {x} and {y}?",
+    "{a} and {b} share {m} {x} in the {p}. If {a} takes {n} {x} first and the rest is put into {k} equal boxes of {y}, how many does each box hold?",
+    "A {p} sells {x} for {m} dollars and {y} for {n} dollars each. {a} pays with a note of {k} dollars for {b}. How much change does {a} get from the {p}?",
+)
+
+
+def problem(rng, fixed):
+    """A word problem whose numbers and names are drawn anew, whose things and place are not."""
+    form, x, y, p = fixed
+    a, b = rng.sample(NAMES, 2)
+    return form.format(a=a, b=b, x=x, y=y, p=p, m=rng.randint(2, 9), n=rng.randint(2, 9), k=rng.randint(2, 9))
+
+
+def test_leaks_of_redrawn_problems_recall_and_precision():
+    from tessera.llm import decontaminate as de
+
+    rng = random.Random(12)
+    every = [(f, x, y, p) for f in ASKED for x in THINGS for y in THINGS for p in PLACES if x != y]
+    chosen = rng.sample(every, 300)
+    items = de.Items.of(list(range(300)), [problem(rng, c) for c in chosen])
+    lead = "Some notes from today follow here without any order."
+    redrawn = [f"{lead} {problem(rng, c)} And so on." for c in chosen]
+    found = de.matches(items, [x.encode() for x in redrawn])
+    assert sum(i in [m[0] for m in found.get(i, ())] for i in range(300)) / 300 >= 0.95
+    # Other forms about the same things hold no item.
+    clean = [f"{lead} In the {p} there were {x} and {y} for sale, {m} of one kind and {n} of the other, said {a} to the man who asked how many {x} were left." for _, x, y, p in chosen for m, n, a in [(rng.randint(2, 9), rng.randint(2, 9), rng.choice(NAMES))]]
+    assert not de.matches(items, [x.encode() for x in clean])
+
+
+def test_leaks_check_repeated_names():
+    from tessera.llm import decontaminate as de
+
+    item = "Yesterday the teacher told us that Maria had 4 red balls while our friend Maria wanted 6 and that poor Maria lost 2."
+    items = de.Items.of([1], [item])
+    same = item.replace("Maria", "Olga").replace("4", "7")
+    mixed = item.replace("Maria", "Olga", 1).replace("Maria", "Ravi", 1).replace("Maria", "Nina", 1)
+    assert de.matches(items, [same.encode()])[0][0][:2] == (1, "reparameterised") and not de.matches(items, [mixed.encode()])
+
+
+def test_leaks_of_a_large_benchmark_hold_one_block_at_a_time(spark, monkeypatch):
+    """Over 4 MB of items: blocks of the stated size, one broadcast at a time, results of all."""
+    from tessera.llm import decontaminate as de
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = [" ".join(word() for _ in range(60)) for _ in range(11_000)]
+    bench = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").repartition(4)
+    sizes, live, shared = [], [0], de.share
+
+    def counted(session, block):
+        get = shared(session, block)
+        sizes.append(sum(len(texts[i]) for i in block.ids))
+        live[0] += 1
+        assert live[0] == 1
+        destroy = get.sent.destroy
+        get.sent.destroy = lambda: (destroy(), live.__setitem__(0, live[0] - 1))
+        return get
+
+    monkeypatch.setattr(de, "share", counted)
+    docs = spark.createDataFrame([(i, f"so {texts[i]} ok") for i in (0, 5000, 10_999)] + [(7, "no item")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in de.find_leaks(docs, bench).collect()} == {(i, i) for i in (0, 5000, 10_999)}
+    assert len(sizes) >= 2 and max(sizes) <= de.BLOCK_BYTES and sum(sizes) > de.BLOCK_BYTES
+    assert [r.doc_id for r in de.drop_leaks(docs, bench).collect()] == [7]
+
+
 def test_leaks_in_capitals(spark):
     from tessera.llm import decontaminate as de
 
