@@ -534,10 +534,57 @@ def test_licenses(spark, odd, empty):
     from tessera.llm.licenses import scan_licenses
 
     filler = " ".join(f"w{i}" for i in range(300))
-    rows = [(1, f"{filler}. Licensed under the Apache License, Version 2.0. {filler}"), (2, f"released under the MIT license. {filler} Released under the MIT License"), (3, filler), (4, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.")]
-    got = collections.Counter((r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    assert got[(1, "Apache-2.0")] == 1 and got[(2, "MIT")] == 2 and got[(4, "GPL-3.0")] == 1 and not [k for k in got if k[0] == 3]
+    rows = [(1, f"{filler}. Licensed under the Apache License, Version 2.0. {filler}"), (2, f"released under the MIT license. {filler} Released under the MIT License"), (3, filler), (4, "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."), (5, "Licensed under the MIT License")]
+    got = collections.Counter((r.doc_id, r.license) for r in scan_licenses(spark.createDataFrame([*rows, rows[4]], "doc_id long, text string")).collect())
+    assert got == {(1, "Apache-2.0"): 1, (2, "MIT"): 2, (4, "GPL-3.0"): 1, (5, "MIT"): 2}
     assert scan_licenses(odd).count() == 0 and scan_licenses(empty).count() == 0
+    assert scan_licenses(odd.withColumn("text", F.lit(rows[4][1]))).columns == ["doc_id", "license", "contained", "first_word", "end_word"]
+
+
+def test_each_license_template_alone_is_itself():
+    from tessera.llm.licenses import TEMPLATES, Scanner
+
+    scanner = Scanner.of()
+    got = scanner.scan([x.encode() for _, x in TEMPLATES])
+    assert len({n for n, _ in TEMPLATES}) >= 30
+    for i, (name, text) in enumerate(TEMPLATES):
+        assert [x[0] for x in got[i]] == [name], (name, text, got[i])
+
+
+def brute_licenses(texts, templates):
+    """(text, license) of every template that some window of twice its length holds to 75 %, without MinHash."""
+    grams = lambda x: [tuple(y) for y in zip(*[[w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in WORD.findall(x.translate(LOWER)) if w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")][i:] for i in range(5)], strict=False)]
+    out = set()
+    for d, text in enumerate(texts):
+        g = grams(text)
+        for name, template in templates:
+            t = set(grams(template))
+            at = [i for i, x in enumerate(g) if x in t]
+            if any(len({g[j] for j in at if i <= j < i + len(t)}) >= 0.75 * len(t) for i in at):
+                out.add((d, name))
+    return out
+
+
+def test_licenses_equal_brute_force_and_recall():
+    from tessera.llm.licenses import TEMPLATES, Scanner
+
+    rng = random.Random(2)
+    filler = lambda n: " ".join(f"w{rng.randint(0, 999)}" for _ in range(n))
+    texts, planted = [], []
+    for k in range(400):
+        name, template = TEMPLATES[k % len(TEMPLATES)]
+        words = template.split()
+        for _ in range(len(words) // 40):  # a few words are changed
+            words[rng.randrange(len(words))] = "changed"
+        texts.append(f"{filler(rng.randint(0, 300))} {' '.join(words)} {filler(rng.randint(0, 300))}")
+        planted.append(name)
+    texts += [filler(200) for _ in range(50)]
+    got = Scanner.of().scan([x.encode() for x in texts])
+    want = brute_licenses(texts, TEMPLATES)
+    found = {(d, x[0]) for d, places in got.items() for x in places}
+    assert found <= want and {d for d, _ in found} == {d for d, _ in want}
+    held = [k for k in range(400) if (k, planted[k]) in want]
+    assert len(held) > 300 and sum((k, planted[k]) in found for k in held) / len(held) >= 0.99
 
 
 @needs_data
