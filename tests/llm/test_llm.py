@@ -241,10 +241,30 @@ def test_pii_equals_plain_patterns(docs):
 
     rng = random.Random(3)
     texts = [t for _, t in docs] + ["".join(rng.choice("a@.b-12 +@.") for _ in range(16)) for _ in range(20_000)]
+    texts += ["".join(rng.choice("1234..") for _ in range(20)) for _ in range(20_000)] + ["+" + "".join(rng.choice("123 (.)-+") for _ in range(18)) for _ in range(20_000)]
     for t in texts:
         assert [x[:3] for x in spans(t) if x[2] in BASE] == plain(t), t
 
 
+@pytest.mark.parametrize("piece", ["1", "1.", "1.1.1.", "1 ", "1-", "+1", "+1(", "a@", "a.", "@a.", "a@b.", "AB12", "AB12 ", "0123456789abcdef", "0123456789abcdef0123456789abcdef ", "AKIA", "ghp_", "123-45-", "é1"])
+def test_pii_takes_time_in_proportion(piece):
+    import time
+
+    from tessera.llm.pii import spans
+
+    began = time.time()
+    spans(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 5
+
+
+def test_pii_context_is_of_whole_words():
+    from tessera.llm.pii import spans
+
+    token = "0123456789abcdef" * 2
+    assert spans(f"monkey trip hotel {token}") == [] and spans(f"key {token}")[0][2] == "secret" and spans(f"api_key={token}")[0][2] == "secret"
+    assert spans(f"{token} and token {token}") == [(43, 75, "secret", 0.9)]
+
+
 def test_pii_query_and_added_kinds(spark, odd, empty):
     from tessera.llm.pii import find_pii, pii_summary, redact, spans
 
