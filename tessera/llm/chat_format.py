@@ -2,11 +2,16 @@
 
 A table of messages (tree, node, parent, role, text, score) is a forest. Iterative self-joins that
 double the reach each time list the ancestors of every leaf, so a path of d messages takes
-log2(d) joins. Branches are ranked by score, and each chosen path is written as one conversation
-with a reversible escape and character spans for the loss.
-
-Defined results: null texts and roles count as empty; messages whose parent is missing are roots;
-repeated turns are kept, ordered by role and text; a table without rows gives none.
+log2(d) joins. Branches are ranked by score on identifiers alone, then the texts of the chosen paths
+are joined, and each path is written as one conversation with a reversible escape and character spans
+for the loss.
+
+Defined results: null texts and roles count as empty, null scores as 0; a null tree is a tree like any
+other; messages whose parent is missing are roots; a node that is given several times is one message,
+with the least parent, the highest score, and the least role and text; replies in a cycle have no root,
+so those and the replies below them are left out; turns of a conversation that are repeated in the
+table are all kept, ordered by role and text; texts are taken whole; a table without rows gives none;
+other columns are ignored, whatever their names. One output row holds a whole conversation.
 """
 
 from __future__ import annotations
@@ -54,38 +59,59 @@ def chain_of_turns(turns: DataFrame, tree: str = "conv_id", order: str = "turn",
     return placed.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def leaf_paths(messages: DataFrame) -> DataFrame:
-    """Every root-to-leaf path: rows (tree, leaf, node, up), where ``up`` counts replies from node to leaf.
+def _keyed(messages: DataFrame, *columns: str) -> DataFrame:
+    """The columns named, with the tree in a struct, so that joins find null trees as well."""
+    return messages.select(F.struct(F.col("tree").alias("v")).alias("tree"), *columns)
 
-    Each round joins what is known within 2^k replies with the jumps of 2^k; nodes of a cycle have no
-    root and no leaf and are left out.
-    """
-    links = messages.select("tree", "node", "parent")
+
+def _links(messages: DataFrame) -> DataFrame:
+    """One row for each node: (tree, node, parent, score)."""
+    score = F.coalesce(F.col("score"), F.lit(0.0))
+    return _keyed(messages, "node", "parent", score.alias("score")).groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.max("score").alias("score"))
+
+
+def _leaf_paths(links: DataFrame) -> DataFrame:
+    links = links.select("tree", "node", "parent")
     known = links.select("tree", F.col("node").alias("parent"))
-    jumps = links.join(known, ["tree", "parent"], "left_semi").select("tree", F.col("node").alias("from"), F.col("parent").alias("to"))
+    jumps = cut(links.join(known, ["tree", "parent"], "left_semi").select("tree", F.col("node").alias("from"), F.col("parent").alias("to")))
     inner = jumps.select("tree", F.col("to").alias("node")).distinct()
-    paths = links.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up"))
+    paths = cut(links.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    roots = links.join(jumps.select("tree", F.col("from").alias("node")), ["tree", "node"], "left_anti").select("tree", "node")
+    most = links.groupBy("tree").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     reach = 1
-    jumps = cut(jumps)
-    while not jumps.isEmpty():
+    while reach <= most:
         step = jumps.select("tree", F.col("from").alias("node"), "to")
-        paths = cut(paths.unionByName(paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))))
+        more = cut(paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up")))
+        if more.isEmpty():
+            return paths
+        paths = paths.unionByName(more)
         further = jumps.select("tree", F.col("from").alias("to"), F.col("to").alias("last"))
         jumps = cut(jumps.join(further, ["tree", "to"]).select("tree", "from", F.col("last").alias("to")))
         reach *= 2
-        if reach > 1 << 40:
-            raise ValueError("the replies have a cycle")
-    return paths
+    # No path is longer than a tree has nodes: what goes on runs in a cycle.
+    rooted = paths.join(roots, ["tree", "node"], "left_semi").select("tree", "leaf").distinct()
+    return paths.join(rooted, ["tree", "leaf"], "left_semi").select("tree", "leaf", "node", "up")
+
+
+def leaf_paths(messages: DataFrame) -> DataFrame:
+    """Every root-to-leaf path: rows (tree, leaf, node, up), where ``up`` counts replies from node to leaf.
+
+    Each round joins what is known within 2^k replies with the jumps of 2^k.
+    """
+    return _leaf_paths(_links(messages)).select(F.col("tree.v").alias("tree"), "leaf", "node", "up")
 
 
 def best_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The ``branches`` best paths of each tree by mean score, then length, then leaf; with their messages."""
-    paths = leaf_paths(messages)
-    full = paths.join(messages.select("tree", "node", "role", "text", "score"), ["tree", "node"])
-    rank = full.groupBy("tree", "leaf").agg(F.avg("score").alias("_mean"), F.count(F.lit(1)).alias("_len"))
+    links = cut(_links(messages))
+    paths = cut(_leaf_paths(links))
+    rank = paths.join(links.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("_mean"), F.count(F.lit(1)).alias("_len"))
     order = Window.partitionBy("tree").orderBy(F.desc("_mean"), F.desc("_len"), "leaf")
-    chosen = rank.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= branches)
-    return full.join(chosen.select("tree", "leaf", "branch"), ["tree", "leaf"])
+    chosen = rank.withColumn("branch", F.row_number().over(order)).filter(F.col("branch") <= branches).select("tree", "leaf", "branch")
+    said = _keyed(messages, "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    nodes = paths.join(chosen, ["tree", "leaf"]).join(said, ["tree", "node"])
+    one = nodes.groupBy("tree", "leaf", "branch", "node", "up").agg(F.min(F.struct("role", "text")).alias("_m"))
+    return one.select(F.col("tree.v").alias("tree"), "leaf", "branch", "node", "up", "_m.role", "_m.text")
 
 
 def format_chats(messages: DataFrame, branches: int = 1, learnt: tuple[str, ...] = LEARNT) -> DataFrame:

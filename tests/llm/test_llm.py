@@ -342,6 +342,47 @@ def test_reply_trees_rank_branches(spark):
     assert {(r.tree, r.leaf, r.n) for r in best} == {(1, 6, 4), (2, 9, 1)}
 
 
+def test_reply_trees_of_odd_rows(spark, odd, empty):
+    from tessera.llm.chat_format import chain_of_turns, format_chats, leaf_paths, read_back
+
+    schema = "tree long, node long, parent long, role string, text string, score double"
+    # A null tree; a reply given twice; a cycle without a leaf; a leaf under a cycle; a node that is its own parent.
+    rows = [(None, 1, None, "user", "q", 1.0), (None, 2, 1, "assistant", "a", None), (1, 1, None, "user", "x", 0.0), (1, 2, 1, "assistant", "y", 1.0), (1, 2, 1, "assistant", "y", 1.0)]
+    rows += [(2, 1, 2, "user", "c", 0.0), (2, 2, 1, "user", "c", 0.0), (3, 1, 2, "user", "c", 0.0), (3, 2, 1, "user", "c", 0.0), (3, 3, 1, "user", "c", 0.0), (3, 4, None, None, None, 0.0), (4, 1, 1, "user", "s", 0.0)]
+    m = spark.createDataFrame(rows, schema).withColumns({c: F.lit(1) for c in ("leaf", "up", "branch", "v", "from", "to", "n")})
+    assert {(r.tree, r.leaf, r.node, r.up) for r in leaf_paths(m).collect()} == {(None, 2, 2, 0), (None, 2, 1, 1), (1, 2, 2, 0), (1, 2, 1, 1), (3, 4, 4, 0)}
+    got = {r.tree: [tuple(t) for t in r.t] for r in format_chats(m, 3).select("tree", read_back(F.col("formatted")).alias("t")).collect()}
+    assert got == {None: [("user", "q"), ("assistant", "a")], 1: [("user", "x"), ("assistant", "y")], 3: [("", "")]}
+    chats = format_chats(chain_of_turns(odd, "doc_id", "n_chars", "lang", "text")).select("tree", F.size(read_back(F.col("formatted"))).alias("n")).collect()
+    assert {r.tree: r.n for r in chats} == collections.Counter(d for d, _ in ODD)
+    assert format_chats(chain_of_turns(empty, "doc_id", "n_chars", "lang", "text")).count() == 0 and leaf_paths(m.filter("false")).count() == 0
+
+
+def test_reply_trees_equal_brute_force(spark):
+    from tessera.llm.chat_format import best_paths
+
+    rng = random.Random(14)
+    rows, want = [], {}
+    for tree in range(40):
+        n = rng.randint(1, 40)
+        parent = {i: rng.randrange(i) if i and rng.random() < 0.95 else None for i in range(n)}
+        score = {i: float(rng.randint(0, 5)) for i in range(n)}
+        rows += [(tree, i, parent[i], "user", f"m{i}", score[i]) for i in range(n)]
+        paths = []
+        for leaf in set(range(n)) - {p for p in parent.values() if p is not None}:
+            path = [leaf]
+            while parent[path[-1]] is not None:
+                path.append(parent[path[-1]])
+            paths.append((-sum(score[i] for i in path) / len(path), -len(path), leaf, path[::-1]))
+        for k, x in enumerate(sorted(paths)[:3]):
+            want[tree, k + 1] = x[3]
+    m = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    got = collections.defaultdict(list)
+    for r in best_paths(m, 3).orderBy(F.desc("up")).collect():
+        got[r.tree, r.branch].append(r.node)
+    assert dict(got) == want
+
+
 def test_quality_rules_of_odd_rows(odd, empty):
     from tessera.llm.quality_rules import judged, keep_good
 
