@@ -20,6 +20,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1342543DE82EF95)
 #: Most bytes of text that are hashed at once; longer texts are taken alone.
 BATCH_BYTES = 1 << 21
+#: Longest array that a row is multiplied by.
+CHUNK = 10_000
 #: Most keys whose rows are kept out of a join's shuffle.
 HEAVY = 4096
 
@@ -177,6 +179,13 @@ def keyed_join(rows: DataFrame, keys: DataFrame, key: str, n: str) -> DataFrame:
     return few.unionByName(rows.join(heavy, key))
 
 
+def spread(rows: DataFrame, copies: str, number: str) -> DataFrame:
+    """Each row ``copies`` times, with 0, 1, ... in ``number``; no array is longer than CHUNK, so hot rows stream through."""
+    chunk = F.explode(F.expr(f"sequence(0L, greatest({copies} - 1, 0L) div {CHUNK})"))
+    each = F.explode(F.expr(f"sequence(_chunk * {CHUNK}L, least({copies}, (_chunk + 1) * {CHUNK}L) - 1)"))
+    return rows.filter(F.col(copies) > 0).withColumn("_chunk", chunk).withColumn(number, each).drop("_chunk")
+
+
 def share(spark, value):
     """Broadcasts ``value`` once, by value, and returns a function that gives it on an executor."""
     sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), {}

@@ -302,6 +302,9 @@ def test_shards_of_odd_rows(odd, empty):
     crc = {r.doc_id: r.text_crc32 for r in got}
     assert crc[9] == zlib.crc32(ODD[9][1].encode()) and crc[1] == 0 and {r.doc_id: r["size"] for r in got}[1] == 1
     assert assign_shards(empty).count() == 0
+    kept = assign_shards(odd.withColumn("a.b", F.lit(3)), n_shards=4, keep=("size", "slot", "lang", "a.b"))
+    assert kept.columns == ["doc_id", "size", "text_crc32", "size_kept", "slot_kept", "lang", "a.b", "position", "shard", "slot"]
+    assert {(r["size_kept"], r["lang"], r["a.b"]) for r in kept.collect()} == {(0, "en", 3)}
 
 
 @needs_data
@@ -417,12 +420,30 @@ def test_quality_rules_equal_sql(spark):
     assert sorted(tuple(r[c] for c in names) for r in got.collect()) == sorted(cur.fetchall())
 
 
-def test_targets_fill_and_cap():
-    from tessera.llm.mixing import targets
+def filled(sizes, weights, share=1.0, cap=3.0):
+    """Targets by filling up in plain Python."""
+    out, left, free = [0.0] * len(sizes), share * sum(sizes), [i for i, n in enumerate(sizes) if n > 0]
+    while free:
+        per = left / sum(weights[i] for i in free)
+        full = [i for i in free if per * weights[i] >= cap * sizes[i]]
+        for i in full or free:
+            out[i] = float(cap * sizes[i]) if full else per * weights[i]
+        left -= sum(out[i] for i in full)
+        if not full:
+            break
+        free = [i for i in free if i not in full]
+    return out
+
+
+def test_targets_fill_and_cap(spark):
+    from tessera.llm.mixing import with_targets
 
-    assert targets([10, 10, 10], [1, 2, 3]) == pytest.approx([5, 10, 15])
-    assert targets([1, 100, 0], [3, 1, 5]) == pytest.approx([3, 98, 0])
-    assert targets([], []) == [] and targets([0], [1]) == [0]
+    rng = random.Random(21)
+    cases = [([10, 10, 10], [1, 2, 3]), ([1, 100, 0], [3, 1, 5]), ([], []), ([0], [1]), *[([rng.choice((0, 1, 5, 50, 1000)) for _ in range(12)], [1 + i % 3 for i in range(12)]) for _ in range(6)]]
+    assert filled([10, 10, 10], [1, 2, 3]) == pytest.approx([5, 10, 15]) and filled([1, 100, 0], [3, 1, 5]) == pytest.approx([3, 98, 0])
+    for sizes, weights in cases:
+        df = spark.createDataFrame(list(zip(range(len(sizes)), sizes, weights, strict=True)), "i long, source_size long, weight long")
+        assert [r.target for r in with_targets(df).orderBy("i").collect()] == pytest.approx(filled(sizes, weights))
 
 
 @needs_data
@@ -446,14 +467,46 @@ def test_mix_meets_targets_and_pieces_agree(spark):
     assert sum(x.end - x.start for x in p) == sum(r.taken for r in got) and all(0 <= x.start < x.end <= words[x.doc_id] for x in p)
 
 
+def golden(slots):
+    """The schedule in plain Python: the source of each golden-ratio point, until every source has its slots."""
+    from tessera.llm.mixing import GOLDEN, MOD_BITS
+
+    total, edges = sum(slots), []
+    for s in slots:
+        edges.append((edges[-1] if edges else 0) + s)
+    edges = [(e << MOD_BITS) // total for e in edges]
+    had, out = [0] * len(slots), []
+    for k in range(3 * total + 8):
+        s = next(i for i, e in enumerate(edges) if (k * GOLDEN) % (1 << MOD_BITS) < e)
+        if had[s] < slots[s]:
+            out.append((k, s, had[s]))
+            had[s] += 1
+    return out
+
+
 def test_schedule_is_even(spark):
     from tessera.llm.mixing import schedule
 
-    want = [1, 500, 250, 249]
-    rows = schedule(spark, want).orderBy("slot").collect()
-    assert [sum(r.source_no == i for r in rows) for i in range(4)] == want
-    first = [r.source_no for r in rows[:100]]
-    assert abs(first.count(1) - 50) <= 3 and abs(first.count(2) - 25) <= 3
+    rng = random.Random(3)
+    for want in ([1, 500, 250, 249], [rng.choice((0, 1, 3, 40)) for _ in range(50)]):
+        df = spark.createDataFrame([(i, n, i // 7) for i, n in enumerate(want)], "source_no long, slots long, _part int")
+        rows = schedule(df).orderBy("slot").collect()
+        assert [tuple(r) for r in rows] == golden(want)
+    first = golden([1, 500, 250, 249])[:100]
+    assert abs(sum(s == 1 for _, s, _ in first) - 50) <= 3 and abs(sum(s == 2 for _, s, _ in first) - 25) <= 3
+
+
+def test_many_sources_are_put_in_order(spark):
+    from tessera.llm.mixing import in_order
+
+    rows = spark.createDataFrame([(None,), *[(f"s{i * 7919 % 1000}",) for i in range(1000)]], "s string").distinct()
+    got = in_order(rows, [F.col("s").isNull(), F.col("s")], per_task=100)
+    assert [r.s for r in got.orderBy("number").collect()] == [*sorted(f"s{i}" for i in range(1000)), None]
+    assert got.select("_part").distinct().count() > 5
+
+
+def spark_rows(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
 
 
 def test_mix_of_odd_rows(odd, empty):
@@ -463,6 +516,12 @@ def test_mix_of_odd_rows(odd, empty):
     got = rows.collect()
     assert len(got) == len(ODD) and {r["size"] for r in got if r.doc_id in (1, 2, 3)} == {0}
     assert mixed_rows(odd).columns == odd.columns and mix(empty)[0].count() == 0
+    ours = ("_size", "_taken", "_id", "_crc", "_source", "_th", "_k", "_row", "_copies", "_copy", "_words", "_chunk", "a.b")
+    clash = odd.withColumns({c: F.lit(i) for i, c in enumerate(ours)})
+    out = mixed_rows(clash)
+    assert out.columns == clash.columns and {r["_size"] for r in out.collect()} == {0} and {r["a.b"] for r in out.collect()} == {12}
+    hot = spark_rows(odd.sparkSession, [(1, "a b c", "s")] * 500 + [(2, "d e", "t")] * 3)
+    assert collections.Counter((r.doc_id, r.taken) for r in mix(hot)[0].collect())[(2, 6)] == 3 and mixed_rows(hot).count() >= 400
 
 
 def test_mixed_rows_cut_the_last_text(spark):
