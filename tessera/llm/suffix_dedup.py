@@ -440,7 +440,8 @@ def repeated_spans(named: DataFrame, hot: int = HOT) -> DataFrame:
         size += known.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()["n"]
         held, windows = held.join(found.groupBy("id", "th").agg(F.collect_set("key").alias("windows")), ["id", "th"], "left"), "windows"
     n_tasks = int(1 + size // PER_TASK)
-    runs = held.select("id", "th", "text", "grams", "hot", windows).mapInPandas(_runs(n_tasks), _RUN)
+    # All columns of ``named`` go along, so that the shuffle of its texts is the one that remove_repeats joins by, made once.
+    runs = held.select(*named.columns, "grams", "hot", windows).mapInPandas(_runs(n_tasks), _RUN)
     return runs.repartitionById(n_tasks, F.col("task").cast("int")).sortWithinPartitions("task", "kind").mapInPandas(_merge_task, _SPAN)
 
 
