@@ -242,13 +242,6 @@ def shard_addresses(spark, sf_dir):
     return addressed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"], 10).select("doc_id", "shard", "line_index")
 
 
-@query("SELECT doc_id, CAST(coalesce(sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 20000 AS BIGINT) AS shard FROM documents")
-def document_shards(spark, sf_dir):
-    from tessera.sources.writers import document_shards as shards
-
-    return shards(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], "doc_id", "n_chars", 20_000).select("doc_id", "shard")
-
-
 @query("SELECT doc_id, source, CAST(doc_id % 4 AS BIGINT) AS part FROM documents WHERE doc_id % 4 = 1")
 def row_partition(spark, sf_dir):
     return table(spark, sf_dir, "documents").filter(F.pmod("doc_id", F.lit(4)) == 1).select("doc_id", "source", F.pmod("doc_id", F.lit(4)).alias("part"))

@@ -102,12 +102,6 @@ def review_status(spark, sf_dir):
     return d.groupBy("lang").agg(F.count_if(a == b).alias("agreed"), F.count_if(a != b).alias("disputed"), F.count_if(a.isNull() | b.isNull()).alias("other"))
 
 
-@query("SELECT * FROM (PIVOT (SELECT o_orderpriority AS priority, o_orderstatus AS s FROM orders) ON s IN ('F', 'O', 'P') USING CAST(count(*) AS BIGINT) GROUP BY priority)")
-def plan_following(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("priority"), "o_orderstatus")
-    return o.groupBy("priority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
-
-
 @query("WITH r AS (SELECT user_id, event_type, avg(value) AS v FROM events GROUP BY ALL) SELECT CAST(count(*) AS BIGINT) AS n, round(avg(t.v - b.v), 9) AS mean_delta, CAST(count(*) FILTER (t.v > b.v) AS BIGINT) AS n_up FROM r b JOIN r t ON b.user_id = t.user_id WHERE b.event_type = (SELECT min(event_type) FROM events) AND t.event_type = (SELECT max(event_type) FROM events)")
 def condition_join(spark, sf_dir):
     e = table(spark, sf_dir, "events")

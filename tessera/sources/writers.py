@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROWS_PER_SHARD = 10_000
 
@@ -19,14 +21,30 @@ def write_shards(rows: DataFrame, path: str, by: list[str], mode: str = "errorif
     rows.write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", ROWS_PER_SHARD).json(path)
 
 
+#: Documents of consecutive ids that one writer packs.
+WRITER_IDS = 100_000
+
+
 def document_shards(rows: DataFrame, by: list[str], order: str, size: str, capacity: int) -> DataFrame:
-    """Shard of each document when shards close before they would exceed ``capacity``.
+    """Adds block and shard: documents are packed in order, and a shard closes before one would take it over ``capacity``.
 
-    Documents go by the shard in which their last unit falls, so none is split and every shard but one of an
-    oversized document holds at most twice the capacity.
+    No document is split; one that is larger than the capacity has a shard of its own. Each block of WRITER_IDS
+    consecutive values of ``order`` (an integer) is a writer of its own, so a ``by`` group of any size is spread.
     """
-    w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("shard", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / capacity))
+    placed = rows.withColumn("block", F.expr(f"`{order}` div {WRITER_IDS}"))
+    schema = T.StructType([*placed.schema.fields, T.StructField("shard", T.LongType())])
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        shard, fill, out = 0, 0, []
+        for i, n in enumerate(group[size].fillna(0).tolist()):
+            if i and fill + n > capacity:
+                shard, fill = shard + 1, 0
+            fill += n
+            out.append(shard)
+        return group.assign(shard=out)
+
+    return placed.groupBy(*by, "block").applyInPandas(pack, schema)
 
 
 def coverage(batches: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
