@@ -60,11 +60,45 @@ def seeded_order(seed: str, *ids: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *[c.cast("string") for c in ids]), 256)
 
 
-def budget_selection(rows: DataFrame, strata: list[str], order: list[Column], tokens: str, target: Column) -> DataFrame:
-    """Rows of each stratum in order while the tokens before them stay under the target; the last may overshoot."""
-    w = Window.partitionBy(*strata).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(tokens).over(w), F.lit(0))
-    return rows.withColumn("_before", before).filter(F.col("_before") < target).drop("_before")
+#: Leading hex digits of an order digest that make a run.
+RUN_DIGITS = 3
+
+
+def running_before(rows: DataFrame, groups: list[str], digest: str, value: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``value`` over the rows of a group whose ``digest`` comes before.
+
+    Rows with the same leading digits form a run, as digests are even; sums are taken inside runs and over the runs'
+    sums, so a group of any share of the rows is spread over 16^RUN_DIGITS tasks.
+    """
+    r = rows.withColumn("_run", F.left(digest, F.lit(RUN_DIGITS)))
+    w = lambda keys, order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = r.groupBy(*groups, "_run").agg(F.sum(value).alias("_n"))
+    offsets = sums.select(*groups, "_run", F.coalesce(F.sum("_n").over(w(groups, "_run")), F.lit(0)).alias("_offset"))
+    inner = r.withColumn("_inner", F.coalesce(F.sum(value).over(w([*groups, "_run"], digest)), F.lit(0)))
+    return inner.join(offsets, [*groups, "_run"]).withColumn(out, F.col("_inner") + F.col("_offset")).drop("_run", "_inner", "_offset")
+
+
+def budget_selection(rows: DataFrame, strata: list[str], digest: Column, tokens: str, target: Column) -> DataFrame:
+    """Rows of each stratum in the order of a digest while the tokens before them stay under the target; the last may overshoot."""
+    placed = running_before(rows.withColumn("_digest", digest), strata, "_digest", tokens, "_before")
+    return placed.filter(F.col("_before") < target).drop("_before", "_digest")
+
+
+def exact_quantile(rows: DataFrame, group: str, value: str, p: float, low: float, high: float, parts: int = 4096) -> DataFrame:
+    """(group, quantile): the exact quantile, by linear interpolation, of values in [low, high].
+
+    Values are counted by parts of the range first; only the parts that hold the two ranks asked for are put in order.
+    """
+    v = rows.filter(F.col(value).between(low, high)).select(group, F.col(value).alias("_v"), F.least(F.floor((F.col(value) - low) / (high - low) * parts), F.lit(parts - 1)).alias("_part"))
+    n = v.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = n.withColumn("_upto", F.sum("_n").over(Window.partitionBy(group).orderBy("_part"))).withColumn("_all", F.sum("_n").over(Window.partitionBy(group)))
+    rank = (F.col("_all") - 1) * F.lit(p)
+    first = F.col("_upto") - F.col("_n")
+    wanted = upto.withColumn("_rank", rank).filter((first <= F.ceil("_rank")) & (F.col("_upto") > F.floor("_rank"))).select(group, "_part", "_rank", first.alias("_first"))
+    placed = v.join(wanted, [group, "_part"]).withColumn("_at", F.row_number().over(Window.partitionBy(group, "_part").orderBy("_v")) - 1 + F.col("_first"))
+    at = lambda r: F.max(F.when(F.col("_at") == r, F.col("_v")))
+    ends = placed.groupBy(group).agg(at(F.floor("_rank")).alias("_lo"), at(F.ceil("_rank")).alias("_hi"), F.max("_rank").alias("_rank"))
+    return ends.select(group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_rank") - F.floor("_rank"))).alias("quantile"))
 
 
 def first_per_group(rows: DataFrame, groups: list[str], order: list[Column], n: int, rank: str = "rank") -> DataFrame:

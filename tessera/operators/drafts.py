@@ -170,7 +170,7 @@ def number_of(word: str) -> int:
 def items_of(text: str) -> list[str]:
     """Parts between commas, plus signs and conjunctions outside brackets."""
     depth, parts, held = 0, [], []
-    for token in re.findall(r"\(|\)|,(?!\d)|\+|\s+(?:and|plus)\s+|[^(),+\s]+|\s+|,", text, re.I):
+    for token in re.findall(r"\d+(?:,\d+)+|\(|\)|,(?!\d)|\+|\s+(?:and|plus)\s+|[^(),+\s]+|\s+|,", text, re.I):
         depth += (token == "(") - (token == ")" and depth > 0)
         if depth == 0 and (token in (",", "+") or re.fullmatch(r"\s+(?:and|plus)\s+", token, re.I)):
             parts.append("".join(held))

@@ -34,7 +34,7 @@ def circular_donors(rows: DataFrame, item: str, owner: str, stratum: str) -> Dat
 
     Items of a stratum form runs of one owner; every item of a run takes the first item of the next run, and
     the last run goes back to the first item, or to the first of another owner if that run shares its owner.
-    Where a stratum has one owner only there is no donor.
+    Items of a stratum with one owner only take the next item of any stratum whose owner differs; null if there is none.
     """
     w = Window.partitionBy(stratum).orderBy(item)
     new = F.coalesce(F.lag(owner).over(w) != F.col(owner), F.lit(True))
@@ -46,7 +46,37 @@ def circular_donors(rows: DataFrame, item: str, owner: str, stratum: str) -> Dat
     second_head = F.nth_value("_head", 2).over(whole)
     back = F.when(first_owner != F.col("_owner"), first_head).when(F.count(F.lit(1)).over(whole) > 2, second_head)
     ahead = heads.withColumn("donor", F.coalesce(F.lead("_head").over(by_run), back))
-    return runs.join(ahead.select(stratum, "_run", "donor"), [stratum, "_run"]).select(item, owner, stratum, "donor")
+    out = runs.join(ahead.select(stratum, "_run", "donor"), [stratum, "_run"]).select(item, owner, stratum, "donor")
+    lone = rows.groupBy(stratum).agg(F.min(owner).alias("_lo"), F.max(owner).alias("_hi")).filter("_lo = _hi").select(stratum)
+    if lone.isEmpty():
+        return out
+    anywhere = next_other(rows, item, owner)
+    return out.filter("donor IS NOT NULL").unionByName(rows.join(lone, stratum, "left_semi").join(anywhere, item).select(item, owner, stratum, "donor"))
+
+
+#: Consecutive ids that one task looks through.
+RUN_IDS = 100_000
+
+
+def next_other(rows: DataFrame, item: str, owner: str) -> DataFrame:
+    """(item, donor): the next item in circular id order whose owner differs.
+
+    Runs of RUN_IDS ids are looked through apart; two items of each say what the runs before it go on to.
+    """
+    r = rows.select(item, owner, F.expr(f"`{item}` div {RUN_IDS}").alias("_run"))
+    w = Window.partitionBy("_run").orderBy(item)
+    marked = r.withColumn("_k", F.sum(F.coalesce(F.lag(owner).over(w) != F.col(owner), F.lit(True)).cast("int")).over(w))
+    heads = marked.groupBy("_run", "_k").agg(F.min(item).alias("_head"), F.first(owner).alias("_own"))
+    inside = heads.withColumn("donor", F.lead("_head").over(Window.partitionBy("_run").orderBy("_k")))
+    at = lambda k, c: F.min(F.when(F.col("_k") == k, F.col(c)))
+    runs = heads.groupBy("_run").agg(at(1, "_own").alias("_o1"), at(1, "_head").alias("_f1"), at(2, "_head").alias("_f2"), F.max(F.struct("_k", "_own"))["_own"].alias("_last"))
+    twice = runs.withColumn("_lap", F.explode(F.array(F.lit(0), F.lit(1))))
+    order = Window.orderBy("_lap", "_run")  # two rows for each RUN_IDS ids
+    ahead = lambda c: F.lead(c).over(order)
+    value = twice.withColumn("_v", F.when(ahead("_o1") != F.col("_last"), ahead("_f1")).when(ahead("_f2").isNotNull(), ahead("_f2")))
+    onward = value.withColumn("_next", F.first("_v", True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))).filter("_lap = 0").select("_run", "_next")
+    found = inside.join(onward, "_run").select("_run", "_k", F.coalesce("donor", "_next").alias("donor"))
+    return marked.join(found, ["_run", "_k"]).select(item, "donor")
 
 
 def condition_pairs(rows: DataFrame, item: str, condition: str, metric: str, baseline: str, treatment: str) -> DataFrame:

@@ -10,7 +10,7 @@ from tessera.functions.stats import size_estimate
 from tessera.operators import corpus as co
 from tessera.operators.graph import connected_components
 from tessera.plans.registry import duck_norm, query
-from tessera.session import table
+from tessera.session import cut, table
 
 SEED, SHARE = 20_260_921, 0.02
 _N = duck_norm("text")
@@ -27,10 +27,12 @@ r AS (SELECT f.*, first_id = doc_id AS is_first, t IN (SELECT t FROM b) AS block
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.coalesce(tx.norm(F.col("text")), F.lit("")).alias("t"))
-    d = d.withColumn("sha", tx.digest(F.col("t"))).withColumn("n_words", F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", " "))).cast("long"))
-    blocked = table(spark, sf_dir, "benchmark").select(tx.norm(F.col("text")).alias("t"))
-    d = co.blocked_reasons(d, [("benchmark", "t", blocked)])
+    """Documents with digest, words, block reasons, first of their digest and split, without texts: they are read and hashed once."""
+    t = F.coalesce(tx.norm(F.col("text")), F.lit(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.transform(F.array(t), lambda x: F.struct(tx.digest(x).alias("sha"), F.when(x == "", 0).otherwise(F.size(F.split(x, " "))).cast("long").alias("n_words")))[0].alias("_t"))
+    d = cut(d.select("doc_id", "source", "lang", "_t.sha", "_t.n_words"))
+    blocked = table(spark, sf_dir, "benchmark").select(tx.digest(tx.norm(F.col("text"))).alias("sha"))
+    d = co.blocked_reasons(d, [("benchmark", "sha", blocked)])
     d = co.first_wins(d, "sha", ["doc_id"], "doc_id")
     return d.withColumn("split", co.hash_split(F.col("sha"), SEED, SHARE))
 
@@ -102,7 +104,7 @@ def token_budget_selection(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", F.when(F.col("lang") == "en", F.lit("main")).otherwise(F.lit("pool")).alias("pool"))
     weight = F.when(F.col("pool") == "main", F.lit(0.3)).otherwise(F.lit(0.7))
     tot = d.groupBy("pool").agg(F.sum("n_chars").alias("_sum")).select("pool", F.bround(F.col("_sum") * weight * 0.25).alias("target"))
-    return co.budget_selection(d.join(tot, "pool"), ["pool"], [co.seeded_order("42", F.col("doc_id"))], "n_chars", F.col("target")).select("doc_id", "pool", "n_chars")
+    return co.budget_selection(d.join(tot, "pool"), ["pool"], co.seeded_order("42", F.col("doc_id")), "n_chars", F.col("target")).select("doc_id", "pool", "n_chars")
 
 
 @query(_SEL + ", s AS (SELECT * FROM c WHERE before < target) SELECT pool, CAST(sum(n_chars) AS BIGINT) AS taken, CAST(count(*) AS BIGINT) AS n_docs, CAST(greatest(0.0, any_value(target) - sum(n_chars)) AS DOUBLE) AS shortfall FROM s GROUP BY pool")
@@ -123,11 +125,10 @@ def stratified_hash_sample(spark, sf_dir):
 
 @query("SELECT doc_id, source, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY sha256('dev:' || doc_id)) <= 6 THEN 'development' ELSE 'heldout' END AS part FROM documents")
 def make_split(spark, sf_dir):
-    from pyspark.sql import Window
-
+    """The first six of each source go to development; the planner cuts sources down to six before it shuffles them."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(co.seeded_order("dev", F.col("doc_id"))))
-    return d.select("doc_id", "source", F.when(rank <= 6, "development").otherwise("heldout").alias("part"))
+    six = co.first_per_group(d, ["source"], [co.seeded_order("dev", F.col("doc_id"))], 6).select("doc_id", F.lit(True).alias("_dev"))
+    return d.join(six, "doc_id", "left").select("doc_id", "source", F.when(F.col("_dev"), "development").otherwise("heldout").alias("part"))
 
 
 _RANKED = "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY sha256('{0}:' || doc_id)) AS r FROM documents{1}"
@@ -239,7 +240,7 @@ def verify_corpus(spark, sf_dir):
 def shard_addresses(spark, sf_dir):
     from tessera.sources.writers import addressed
 
-    return addressed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], ["doc_id"], 10).select("doc_id", "shard", "line_index")
+    return addressed(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], "doc_id", 10).select("doc_id", "shard", "line_index")
 
 
 @query("SELECT doc_id, source, CAST(doc_id % 4 AS BIGINT) AS part FROM documents WHERE doc_id % 4 = 1")

@@ -89,10 +89,14 @@ def fixed_denominator_readout(spark, sf_dir):
 
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS planned, CAST(count(*) FILTER (v BETWEEN 0 AND 1) AS BIGINT) AS covered, round(avg(v) FILTER (v BETWEEN 0 AND 1), 9) AS mean, round(quantile_cont(v, 0.5) FILTER (v BETWEEN 0 AND 1), 9) AS median, round(min(v) FILTER (v BETWEEN 0 AND 1), 9) AS low, round(max(v) FILTER (v BETWEEN 0 AND 1), 9) AS high FROM (SELECT event_type, value / 100.0 AS v FROM events) GROUP BY event_type")
 def severity_summary(spark, sf_dir):
-    v = F.col("value") / 100.0
-    ok = F.when(v.between(0, 1), v)
+    from tessera.operators.corpus import exact_quantile
+
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("value") / 100.0).alias("v"))
+    ok = F.when(F.col("v").between(0, 1), F.col("v"))
     r9 = lambda c: F.round(c, 9)
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("planned"), F.count(ok).alias("covered"), r9(F.avg(ok)).alias("mean"), r9(F.percentile(ok, 0.5)).alias("median"), r9(F.min(ok)).alias("low"), r9(F.max(ok)).alias("high"))
+    per = e.groupBy("event_type").agg(F.count(F.lit(1)).alias("planned"), F.count(ok).alias("covered"), r9(F.avg(ok)).alias("mean"), r9(F.min(ok)).alias("low"), r9(F.max(ok)).alias("high"))
+    median = exact_quantile(e, "event_type", "v", 0.5, 0.0, 1.0).select("event_type", r9(F.col("quantile")).alias("median"))
+    return per.join(median, "event_type", "left").select("event_type", "planned", "covered", "mean", "median", "low", "high")
 
 
 @query("SELECT lang, CAST(count(*) FILTER (base = treat) AS BIGINT) AS agreed, CAST(count(*) FILTER (base <> treat) AS BIGINT) AS disputed, CAST(count(*) FILTER (base IS NULL OR treat IS NULL) AS BIGINT) AS other FROM (SELECT lang, quality = 1 AS base, toxic = 0 AS treat FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY lang")

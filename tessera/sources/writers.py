@@ -8,12 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROWS_PER_SHARD = 10_000
+#: Consecutive ids that one writer takes.
+WRITER_IDS = 100_000
+
 
+def addressed(rows: DataFrame, by: list[str], order: str, per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+    """Adds shard and line_index within each ``by`` group in the order of an integer column, so that a row can be named by its address.
 
-def addressed(rows: DataFrame, by: list[str], order: list[str], per_shard: int = ROWS_PER_SHARD) -> DataFrame:
-    """Adds shard and line_index within each ``by`` group, so that a row can be named by its address."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("_n", n).withColumn("shard", F.floor(F.col("_n") / per_shard)).withColumn("line_index", (F.col("_n") % per_shard).cast("long")).drop("_n")
+    Rows are numbered inside blocks of WRITER_IDS consecutive values, on from the blocks before, so a group of any size is spread.
+    """
+    r = rows.withColumn("_block", F.expr(f"`{order}` div {WRITER_IDS}"))
+    sums = r.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sums.select(*by, "_block", F.coalesce(before, F.lit(0)).alias("_offset"))
+    n = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(order)) - 1
+    placed = r.withColumn("_n", n).join(offsets, [*by, "_block"]).withColumn("_n", F.col("_n") + F.col("_offset"))
+    return placed.withColumn("shard", F.floor(F.col("_n") / per_shard)).withColumn("line_index", (F.col("_n") % per_shard).cast("long")).drop("_n", "_offset", "_block")
 
 
 def write_shards(rows: DataFrame, path: str, by: list[str], mode: str = "errorifexists") -> None:
@@ -21,10 +31,6 @@ def write_shards(rows: DataFrame, path: str, by: list[str], mode: str = "errorif
     rows.write.mode(mode).partitionBy(*by).option("maxRecordsPerFile", ROWS_PER_SHARD).json(path)
 
 
-#: Documents of consecutive ids that one writer packs.
-WRITER_IDS = 100_000
-
-
 def document_shards(rows: DataFrame, by: list[str], order: str, size: str, capacity: int) -> DataFrame:
     """Adds block and shard: documents are packed in order, and a shard closes before one would take it over ``capacity``.
 

@@ -86,7 +86,7 @@ def test_first_wins_is_independent_of_order(spark):
 
 def test_budget_overshoots_by_the_last_row(spark):
     rows = spark.createDataFrame([(1, 5), (2, 4), (3, 9)], "id int, t int").withColumn("s", F.lit(1))
-    assert [r.id for r in co.budget_selection(rows, ["s"], [F.col("id")], "t", F.lit(8)).orderBy("id").collect()] == [1, 2]
+    assert [r.id for r in co.budget_selection(rows, ["s"], F.lpad(F.col("id").cast("string"), 64, "0"), "t", F.lit(8)).orderBy("id").collect()] == [1, 2]
 
 
 def test_blocked_reasons_lists_each_reason_once(spark):
@@ -97,7 +97,7 @@ def test_blocked_reasons_lists_each_reason_once(spark):
 
 def test_donors_go_round_and_skip_the_own_owner(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (2, 1, "a"), (3, 2, "a"), (4, 1, "a"), (5, 7, "b")], "i int, o int, s string")
-    assert {r.i: r.donor for r in pa.circular_donors(rows, "i", "o", "s").collect()} == {1: 3, 2: 3, 3: 4, 4: 3, 5: None}
+    assert {r.i: r.donor for r in pa.circular_donors(rows, "i", "o", "s").collect()} == {1: 3, 2: 3, 3: 4, 4: 3, 5: 1}
 
 
 def test_join_issues(spark):
@@ -193,7 +193,7 @@ def test_manifest_and_writers(spark, tmp_path):
     m = spark.createDataFrame([("a", "1"), ("b", "01"), ("a", "3"), ("c", None)], "task string, n string")
     assert {(r.id, r.code) for r in manifest_issues(m, ["task"], "n").collect()} == {("b", "count_not_canonical"), ("c", "count_not_canonical"), ("a", "identity_repeats")}
     rows = spark.createDataFrame([(i, "s") for i in range(5)], "id int, s string")
-    assert [(r.shard, r.line_index) for r in addressed(rows, ["s"], ["id"], 2).orderBy("id").collect()] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
+    assert [(r.shard, r.line_index) for r in addressed(rows, ["s"], "id", 2).orderBy("id").collect()] == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0)]
     write_shards(rows, str(tmp_path / "out"), ["s"])
     with pytest.raises(Exception):
         write_shards(rows, str(tmp_path / "out"), ["s"])
@@ -216,3 +216,101 @@ def test_word_tokens_of_whole_texts(spark):
     for i, got in rows:
         want = None if texts[i] is None else [(m.start(), m.end(), m[0]) for m in re.finditer(r"[^\W\d_]+|[0-9]+|\S", texts[i])]
         assert (got if got is None else [tuple(x) for x in got]) == want
+
+
+def test_donors_of_strata_with_one_owner_equal_brute_force(spark, monkeypatch):
+    from tessera.operators import pairs as pa
+
+    monkeypatch.setattr(pa, "RUN_IDS", 5)
+    rows = [(i, "o" if i in (3, 9, 10, 11, 12, 13, 14, 15, 16, 17, 40) else f"p{i % 2}", "lone" if i in (3, 9, 12, 40) else "s") for i in range(41)]
+    got = {r.item: r.donor for r in pa.circular_donors(spark.createDataFrame(rows, "item long, owner string, stratum string"), "item", "owner", "stratum").collect()}
+    for i, owner, stratum in rows:
+        others = [x for x in rows[i + 1 :] + rows[:i] if x[1] != owner]
+        assert got[i] == next((x[0] for x in others if x[2] == stratum), others[0][0])
+    alone = spark.createDataFrame([(1, "o", "s"), (2, "o", "s")], "item long, owner string, stratum string")
+    assert {r.donor for r in pa.circular_donors(alone, "item", "owner", "stratum").collect()} == {None}
+
+
+def test_sums_and_quantiles_by_runs(spark):
+    import random
+
+    from tessera.operators import corpus as co
+
+    rng = random.Random(1)
+    rows = [(rng.choice("ab"), f"{rng.getrandbits(64):016x}", rng.randint(0, 9), rng.choice((0.0, 1.0, rng.random()))) for _ in range(400)]
+    df = spark.createDataFrame(rows, "g string, d string, n long, v double")
+    got = {(r.g, r.d): r.before for r in co.running_before(df, ["g"], "d", "n", "before").collect()}
+    assert got == {(g, d): sum(n for g2, d2, n, _ in rows if g2 == g and d2 < d) for g, d, _, _ in rows}
+    for p in (0.0, 0.3, 0.5, 1.0):
+        want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", p).alias("q")).collect()}
+        assert {r.g: round(r.quantile, 12) for r in co.exact_quantile(df, "g", "v", p, 0.0, 1.0, 64).collect()} == {g: round(q, 12) for g, q in want.items()}
+
+
+def test_shards_and_addresses_over_several_writers(spark, monkeypatch):
+    from tessera.sources import writers as wr
+
+    monkeypatch.setattr(wr, "WRITER_IDS", 10)
+    df = spark.createDataFrame([(i, "s", 30 if i % 7 == 0 else 4) for i in range(25)], "id long, s string, n long")
+    assert [(r.shard, r.line_index) for r in wr.addressed(df, ["s"], "id", 4).orderBy("id").collect()] == [(i // 4, i % 4) for i in range(25)]
+    shards = {}
+    for r in wr.document_shards(df, ["s"], "id", "n", 12).collect():
+        shards.setdefault((r.block, r.shard), []).append(r)
+    for (block, shard), rows in shards.items():
+        assert sum(r.n for r in rows) <= 12 or len(rows) == 1
+        after = shards.get((block, shard + 1))
+        assert after is None or sum(r.n for r in rows) + min(after, key=lambda r: r.id).n > 12
+
+
+@pytest.mark.parametrize(
+    ("text", "bad"),
+    [
+        ("It has 1 sulfur, 2 oxygens and 3 carbons, totaling 7 heavy atoms.", 1), ("It has 1 sulfur, 2 oxygens and 3 carbons, totaling 6 heavy atoms.", 0), ("four heavy atoms (a methyl, (two) oxygens, one nitrogen)", 0),
+        ("five heavy atoms (a methyl, oxygens (two), one nitrogen)", 1), ("Rings: 2 (one pyridine ring (1), some fused rings)", 0), ("1,200 carbons and 3 oxygens = 5 heavy atoms", 0), ("", 0), (None, 0), ("no (numbers) = here", 0),
+    ],
+)
+def test_false_totals(text, bad):
+    from tessera.operators.drafts import false_totals
+
+    assert len(false_totals(text)) == bad
+
+
+def test_most_disjoint_equals_brute_force():
+    import itertools
+    import random
+
+    from tessera.operators.evaluation import most_disjoint
+
+    rng = random.Random(3)
+    for _ in range(60):
+        sets = [sum({1 << rng.randrange(8) for _ in range(rng.randint(1, 3))}) for _ in range(rng.randint(0, 7))]
+        fits = lambda c: sum(m.bit_count() for m in c) == (__import__("functools").reduce(int.__or__, c, 0)).bit_count()
+        assert most_disjoint(sets) == max(k for k in range(len(sets) + 1) for c in itertools.combinations(sets, k) if fits(c))
+
+
+def test_text_operators_on_odd_rows(spark):
+    from tessera.operators import drafts as dr
+
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "a \U0001f600 12 and 3"), (4, "<|im_start|>x")], "id long, t string")
+    spans = {r.id: r.s for r in df.select("id", dr.match_spans(F.col("t"), "[0-9]+").alias("s")).collect()}
+    assert spans[1] is None and spans[2] == [] and [(x.start, x.end, x.text) for x in spans[3]] == [(4, 6, "12"), (11, 12, "3")]
+    assert {r.id: r.f for r in df.select("id", dr.flattened(F.col("t")).alias("f")).collect()} == {1: None, 2: None, 3: None, 4: None}
+    chat = df.filter("id = 4").select(dr.rendered_chat(F.expr("array(named_struct('role', 'user', 'content', 'hi'), named_struct('role', 'assistant', 'content', concat(t, ' ok 7')))")).alias("r"))
+    e = chat.select(dr.eligible_tokens(F.col("r.text"), F.col("r.spans")).alias("e")).first().e
+    assert e.n_tokens == 41 and len(e.positions) == 3  # x, ok and 7: the tag in the content isn't learnt
+    assert dr.compiled("a{n:int}")[0] == "^\\Qa\\E(-?[0-9]+)$"
+    with pytest.raises(ValueError):
+        dr.compiled("{n:int}{n:text}")
+    back = spark.range(8).select("id", dr.mapped_back(F.col("id"), F.col("id") + 1, F.expr("array(named_struct('start', 2L, 'end', 3L, 'text', 'xyz'))"))["start"].alias("b"))
+    assert [r.b for r in back.orderBy("id").collect()] == [0, 1, None, None, None, 3, 4, 5]
+
+
+def test_gates_and_runs_treat_nulls_as_values(spark):
+    from tessera.operators import release as rl
+
+    e = spark.createDataFrame([(1, None), (2, "x"), (3, "y")], "k long, f string")
+    r = spark.createDataFrame([(1, None), (2, None), (4, "z"), (3, "y"), (3, "y")], "k long, f string")
+    assert {tuple(x) for x in rl.gate(r, e, ["k"], ["f"]).collect()} == {(2, "changed", "f"), (4, "unexpected", ""), (3, "repeated", "")}
+    done = spark.createDataFrame([(1, None, "stop"), (2, "x", None), (9, "q", "stop")], "k long, f string, e string")
+    assert {tuple(x) for x in rl.resume_state(e, done, "k", "f", "e").collect()} == {(1, "done"), (2, "not_terminal"), (3, "open"), (9, "unknown")}
+    j = spark.createDataFrame([(None,), ("",), ('{"id": 1, "kind": null}',)], "j string")
+    assert [[x.code for x in r.i] for r in j.select(rl.record_issues(F.col("j"), [("id", "BIGINT"), ("kind", "STRING")]).alias("i")).collect()] == [["syntax"], ["syntax"], ["missing"]]
