@@ -189,6 +189,8 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> fl
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_fit: int = MAX_FIT) -> Model:
     """Fits on at most ``max_fit`` rows of each label; ``labels`` holds those that may be learnt from."""
     known = labels.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
+    # Labels of documents that aren't there would use up the sample.
+    known = cut(known.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi"))
     count = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = count.get(0, 0), count.get(1, 0)
     prior = (n1 + 1) / (n0 + n1 + 2)
@@ -196,7 +198,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return Model(np.zeros((BUCKETS, DIM), dtype=np.float32), prior)
     picked = [known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_fit) for y in (0, 1)]
     # At most 2 * max_fit short rows are broadcast.
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id").dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
+    # Of rows with one id the text with the least hash is learnt from, so that reruns agree.
+    texts = texts.groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text"))["text"].alias("text"))
     sample = cut(texts.repartition(PARTS, "id"))
     parts = sample.select("text").coalesce(PARTS).mapInPandas(_partial_tables, "part binary").collect()
     total = sum(np.frombuffer(r["part"], dtype=np.int32).reshape(BUCKETS, DIM).astype(np.float64) for r in parts)

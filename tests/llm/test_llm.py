@@ -726,6 +726,77 @@ def test_quality_model_without_both_labels(odd, empty, spark):
     assert score_documents(odd, both).count() == len(ODD) and score_documents(empty, both).count() == 0
 
 
+@needs_data
+def test_quality_vectors_alone_tell_labels_apart_and_reruns_agree(spark):
+    """The pooled word vectors without the ratios reach 0.9 on held-out rows; ids that are given twice don't make reruns differ."""
+    import numpy as np
+
+    from tessera.llm import quality_model as qm
+    from tessera.session import table
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    twice = docs.unionByName(docs.filter("doc_id % 3 = 0").withColumn("text", F.lit("other words")))
+    got = [{(r.doc_id, r.score) for r in qm.score_documents(twice, labels).collect()} for _ in range(2)]
+    assert got[0] == got[1]
+    model = qm.fit(docs, labels.filter(~qm.held_out()))
+    rows = docs.join(labels, "doc_id").select("text", "quality", qm.held_out().alias("held")).collect()
+    x = np.concatenate([model.features([(r.text or "").encode()]) for r in rows])[:, : qm.DIM]
+    y, held = np.array([float(r.quality) for r in rows]), np.array([r.held for r in rows])
+    z = np.clip((x - x[~held].mean(0)) / (x[~held].std(0) + 1e-6), -8, 8)
+    w1, b1, w2, b2 = qm.train_network(z[~held], y[~held], np.ones((~held).sum()))
+    assert (((np.tanh(z[held] @ w1 + b1) @ w2 + b2) > 0) == (y[held] == 1)).mean() > 0.9
+
+
+@needs_data
+def test_pipeline_equals_brute_force(spark):
+    """Rules, near duplicates, leaks, taken words and shards of the pipeline, each held against plain Python on the stage's input."""
+    import corpus_pipeline as cp
+    from tessera.session import cut, table
+
+    docs = table(spark, SF, "documents")
+    good = cut(cp.quality_rules(spark, docs, SF))
+    verdicts = {r.doc_id: r.kept for r in q.op9_quality_rules(spark, SF).collect()}
+    assert sorted(r.doc_id for r in good.collect()) == sorted(d for d, k in verdicts.items() if k)
+    one = cut(cp.near_duplicates(spark, good, SF))
+    comps = brute_components([(r.doc_id, r.text) for r in good.collect()])
+    assert sorted(r.doc_id for r in one.collect()) == sorted(d for d, (_, c) in comps.items() if c == d)
+    clean = cut(cp.decontamination(spark, one, SF))
+    items = [r.text for r in table(spark, SF, "benchmark").collect()]
+    gone = {r.doc_id: r.text for r in one.join(clean, "doc_id", "left_anti").collect()}
+    fold = lambda t: [w.casefold().strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in WORD.findall(t)]
+    grams = lambda t: set(zip(*[fold(t)[i:] for i in range(8)], strict=False))
+    held = [grams(x) for x in items]
+    assert not [r.doc_id for r in clean.collect() if any(x in r.text for x in items)]
+    assert all(any(g & h for h in held) for g in map(grams, gone.values()))
+    mixed = cut(cp.mixing(spark, clean, SF))
+    sizes = collections.Counter()
+    for r in clean.collect():
+        sizes[r.source] += len(WORD.findall(r.text))
+    order = sorted(sizes)
+    want = dict(zip(order, filled([sizes[x] for x in order], [1 + i % 3 for i in range(len(order))]), strict=True))
+    words = collections.Counter()
+    for r in mixed.collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert all(abs(words[x] - want[x]) <= 1 for x in order)
+    placed = cp.sharding(spark, mixed, SF).collect()
+    assert len(placed) == mixed.count() and sorted(r.position for r in placed) == list(range(len(placed)))
+    assert all(r.shard == r.position % cp.SHARDS and r.slot == r.position // cp.SHARDS for r in placed)
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    clash = odd.withColumns({c: F.lit(1) for c in ("_size", "_taken", "_id", "_crc", "_source", "_k", "_row", "rep", "comp", "grams", "position", "shard")})
+    for name, rows in (("odd", clash), ("empty", clash.filter("false"))):
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, None), (2, "a b c d")], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        assert cp.run(spark, f"{tmp_path}/{name}").count() == 0  # every odd row fails a rule
+    kept = cp.near_duplicates(spark, clash, "")
+    assert kept.columns == clash.columns and cp.mixing(spark, kept, "").columns == clash.columns
+    assert cp.decontamination(spark, kept, f"{tmp_path}/odd").count() == kept.filter("NOT text <=> 'a b c d e'").count()
+
+
 @needs_data
 def test_pipeline_stages(spark):
     import corpus_pipeline as cp
