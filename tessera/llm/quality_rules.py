@@ -57,7 +57,8 @@ def _repeat_words() -> str:
     same = "h[int(v & m)] = h[int(k[j {0} 1] & m)]"
     dups = f"filter(k, (v, j) -> (j > 0 AND k[greatest(j - 1, 0)] >= (v & ~m) AND {same.format('-')}) OR (j < size(k) - 1 AND k[least(j + 1, size(k) - 1)] <= (v | m) AND {same.format('+')}))"
     covered = "aggregate(sort_array(transform(d, v -> v & m)), named_struct('n', 0L, 'e', 0L), (s, p) -> named_struct('n', s.n + p + 3L - greatest(s.e, p), 'e', p + 3L), s -> s.n)"
-    body = _let("h", hashes, _let("b", "length(bin(size(w)))", _let("m", "shiftleft(1L, b) - 1L", _let("k", keys, _let("d", dups, f"if(size(d) = 0, 0L, {covered})")))))
+    # Most texts repeat no window: then nothing is sorted.
+    body = _let("h", hashes, "if(size(array_distinct(h)) = size(h), 0L, {})".format(_let("b", "length(bin(size(w)))", _let("m", "shiftleft(1L, b) - 1L", _let("k", keys, _let("d", dups, f"if(size(d) = 0, 0L, {covered})"))))))
     return f"if(size(w) < 3, 0L, {body})"
 
 
@@ -75,8 +76,8 @@ def verdict(text_col: str = "text", rules=RULES) -> Column:
     stop = ", ".join(f"'{x}'" for x in sorted(set(STOP_WORDS)))
     fields = {
         "n_words": "bigint(size(w))",
-        "word_chars": f"bigint(length(translate(t, '{_WS}', '')))",
-        "n_symbols": "bigint(length(t) - length(translate(t, '#*$%&|<>', '')))",
+        "word_chars": "bigint(length(array_join(w, '')))",
+        "n_symbols": "if(t RLIKE '[#*$%&|<>]', bigint(length(t) - length(translate(t, '#*$%&|<>', ''))), 0L)",
         "n_lines": "bigint(size(l))",
         "n_dup_lines": "bigint(size(l) - size(array_distinct(l)))",
         "n_repeat_words": _repeat_words(),
