@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import corpus_queries, record_queries, relational_queries, span_queries, vector_queries  # noqa: F401  they register themselves
+from tessera.plans import audit_queries, corpus_queries, record_queries, relational_queries, span_queries, vector_queries  # noqa: F401  they register themselves
 from tessera.plans.registry import ORACLES, QUERIES, Query
 
 
