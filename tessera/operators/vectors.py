@@ -26,11 +26,6 @@ def keep_largest(vec: Column, k: int) -> Column:
     return F.transform(F.transform(F.array(F.transform(order, lambda s: s["i"])), lambda idx: F.transform(vec, lambda v, i: F.when(F.array_contains(idx, i), v.cast("double")).otherwise(F.lit(0.0)))), lambda x: x)[0]
 
 
-def prefix(vec: Column, width: int) -> Column:
-    """Coordinates from ``width`` on become 0."""
-    return F.transform(vec, lambda v, i: F.when(i < width, v.cast("double")).otherwise(F.lit(0.0)))
-
-
 def reconstruction(rows: DataFrame, x: str, recon: str, keys: list[str] = ()) -> DataFrame:
     """MSE, unexplained variance, cosine, relative error and norm ratio over all rows, in two phases:
     sums per row by array functions, then aggregates that merge across tasks."""
@@ -56,11 +51,9 @@ def active_counts(rows: DataFrame, vec: str, threshold: float = 0.0) -> DataFram
 
 def feature_frequency(rows: DataFrame, vec: str, threshold: float = 0.0) -> DataFrame:
     """Per feature: in how many rows it is active, its share, and whether it's dead or dense."""
-    n = rows.agg(F.count(F.lit(1)).alias("n_rows"))
     long = rows.select(F.posexplode(vec).alias("feature", "v"))
     per = long.groupBy("feature").agg(F.count_if(F.abs(F.col("v")) > threshold).cast("long").alias("n_active"), F.count(F.lit(1)).alias("n_rows"))
     share = F.col("n_active") / F.col("n_rows")
-    del n
     return per.select("feature", "n_active", share.alias("frequency"), (F.col("n_active") == 0).alias("dead"), (share >= 0.1).alias("dense"))
 
 

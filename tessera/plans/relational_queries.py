@@ -225,7 +225,8 @@ def dag_propagation(spark, sf_dir):
     return out.select("id", F.col("product_new").alias("product"), F.col("delta_new").alias("delta"), "events")
 
 
-@query()
+@query("""WITH e AS (SELECT DISTINCT l_orderkey AS record, 's' || (l_suppkey % 5) AS source, 't' || l_linenumber AS target FROM lineitem), n AS (SELECT record, source AS node FROM e UNION SELECT record, target FROM e)
+SELECT record, node, CAST(row_number() OVER (PARTITION BY record ORDER BY node) - 1 AS BIGINT) AS place FROM n""")
 def topological_order(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("record"), F.concat(F.lit("s"), F.col("l_suppkey") % 5).alias("source"), F.concat(F.lit("t"), F.col("l_linenumber")).alias("target"))
     return cl.topological_order(l.distinct())
@@ -327,3 +328,44 @@ def molecule_mutations(spark, sf_dir):
     from tessera.functions.molecules import mutation_table
 
     return mutation_table(_molecules(spark, sf_dir), "id", "smiles").withColumn("similarity", F.round("similarity", 9))
+
+
+@query()
+def molecule_mutation_pick(spark, sf_dir):
+    from tessera.functions.molecules import mutation_table, picked_mutation
+
+    return picked_mutation(mutation_table(_molecules(spark, sf_dir), "id", "smiles"), "pick").withColumn("similarity", F.round("similarity", 9))
+
+
+@query("SELECT f.format, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids, CAST(count(DISTINCT props) AS BIGINT) AS n_props, CAST(max(length(event_type)) AS BIGINT) AS longest FROM events, (VALUES ('csv'), ('json'), ('jsonl'), ('tsv')) f(format) GROUP BY f.format")
+def scan_formats(spark, sf_dir):
+    """The events written as JSON lines, as lines of JSON arrays, as CSV and TSV to new folders, and scanned again."""
+    from uuid import uuid4
+
+    from tessera.session import ensure_checkpoint_dir
+    from tessera.sources.readers import scan
+
+    ensure_checkpoint_dir(spark)
+    base, schema = f"{spark.sparkContext.getCheckpointDir()}/scan-{uuid4().hex}", "event_id long, event_type string, props string"
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "props")
+    e.write.json(f"{base}/lines.jsonl")
+    e.select(F.concat(F.lit("["), F.to_json(F.struct("event_id", "event_type", "props")), F.lit("]"))).write.text(f"{base}/lines.json")
+    for name, sep in (("csv", ","), ("tsv", "\t")):
+        e.write.option("header", True).option("sep", sep).option("escape", '"').csv(f"{base}/lines.{name}")
+    out = None
+    for name in ("jsonl", "csv", "tsv", "json"):
+        read = spark.read.schema(schema).json(f"{base}/lines.json") if name == "json" else scan(spark, f"{base}/lines.{name}", schema)
+        got = read.agg(F.lit(name).alias("format"), F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.countDistinct("props").alias("n_props"), F.max(F.length("event_type")).cast("long").alias("longest"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("SELECT r || '/' || t AS id, code FROM (SELECT CAST(n_regionkey AS VARCHAR) AS r, n_name AS t, 'count_not_canonical' AS code FROM nation WHERE n_nationkey % 4 IN (1, 2, 3) UNION ALL SELECT CAST(n_regionkey AS VARCHAR), n_name, 'identity_repeats' FROM nation WHERE n_nationkey % 6 = 0)")
+def manifest_check(spark, sf_dir):
+    """A manifest with counts written as 0, 07 and nothing, and with identities that repeat."""
+    from tessera.sources.readers import manifest_issues
+
+    k = F.col("n_nationkey") % 4
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("family"), F.col("n_name").alias("task"), F.when(k == 1, "0").when(k == 2, "07").when(k == 0, "12").alias("n"))
+    again = n.filter("n_nationkey % 6 = 0").withColumn("n", F.lit("1"))
+    return manifest_issues(n.unionByName(again).drop("n_nationkey"), ["family", "task"], "n")

@@ -314,3 +314,16 @@ def test_gates_and_runs_treat_nulls_as_values(spark):
     assert {tuple(x) for x in rl.resume_state(e, done, "k", "f", "e").collect()} == {(1, "done"), (2, "not_terminal"), (3, "open"), (9, "unknown")}
     j = spark.createDataFrame([(None,), ("",), ('{"id": 1, "kind": null}',)], "j string")
     assert [[x.code for x in r.i] for r in j.select(rl.record_issues(F.col("j"), [("id", "BIGINT"), ("kind", "STRING")]).alias("i")).collect()] == [["syntax"], ["syntax"], ["missing"]]
+
+
+def test_windowed_counts_of_a_stream(spark, tmp_path):
+    from datetime import datetime
+
+    from tessera.streaming.ingest import stream_of, windowed_counts
+
+    rows = [(datetime(2024, 1, 1, h, m), k) for h, m, k in ((0, 5, "a"), (0, 50, "a"), (0, 59, "b"), (1, 0, "a"))]
+    df = spark.createDataFrame(rows, "ts timestamp, k string")
+    df.write.parquet(str(tmp_path / "in"))
+    stream = windowed_counts(stream_of(spark, str(tmp_path / "in"), df.schema), "ts", "k")
+    stream.writeStream.format("memory").queryName("_windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.start.hour, r.k, r.n_rows) for r in spark.table("_windows").collect()) == [(0, "a", 2), (0, "b", 1), (1, "a", 1)]
