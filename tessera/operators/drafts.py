@@ -155,10 +155,11 @@ def without_leaks(text: Column, answers: Column) -> Column:
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split()
 _NUMBER = "(?:[0-9]{1,4}|" + "|".join(NUMBER_WORDS) + ")"
 _TOTALS = (
-    re.compile(rf"(?P<items>[^.;:\n]*?)[,:]? (?:totaling|for a total of|=) (?P<total>{_NUMBER}) (?P<unit>\w+(?: \w+)?)", re.I),
+    re.compile(rf"[,:]? (?:totaling|for a total of|=) (?P<total>{_NUMBER}) (?P<unit>\w+(?: \w+)?)", re.I),
     re.compile(rf"\b(?P<total>{_NUMBER}) (?P<unit>\w+(?: \w+)?) \((?P<items>[^()]*(?:\([^()]*\)[^()]*)*)\)", re.I),
     re.compile(rf"\b(?P<unit>\w+(?: \w+)?): (?P<total>{_NUMBER}) \((?P<items>[^()]*(?:\([^()]*\)[^()]*)*)\)", re.I),
 )
+_MARK = re.compile("=|total", re.I)
 _LEADING = re.compile(rf"^(?:contains |has |it |the |and |count |with |are |there )*(?P<n>{_NUMBER})\b", re.I)
 _ANYWHERE = re.compile(rf"\b{_NUMBER}\b", re.I)
 
@@ -167,12 +168,15 @@ def number_of(word: str) -> int:
     return int(word) if word.isdigit() else NUMBER_WORDS.index(word.lower())
 
 
+_PIECE = re.compile(r"\d+(?:,\d+)+|\(|\)|,(?!\d)|\+|\s+(?:and|plus)\s+|[^(),+\s]+|\s+|,", re.I)
+
+
 def items_of(text: str) -> list[str]:
     """Parts between commas, plus signs and conjunctions outside brackets."""
     depth, parts, held = 0, [], []
-    for token in re.findall(r"\d+(?:,\d+)+|\(|\)|,(?!\d)|\+|\s+(?:and|plus)\s+|[^(),+\s]+|\s+|,", text, re.I):
+    for token in _PIECE.findall(text):
         depth += (token == "(") - (token == ")" and depth > 0)
-        if depth == 0 and (token in (",", "+") or re.fullmatch(r"\s+(?:and|plus)\s+", token, re.I)):
+        if depth == 0 and (token in (",", "+") or (token[0].isspace() and token.strip().lower() in ("and", "plus"))):
             parts.append("".join(held))
             held = []
         else:
@@ -193,19 +197,37 @@ def count_of(item: str, implicit: bool) -> int | None:
     return 1 if implicit and words and len(words) <= 6 and not numbers and not words[-1].lower().endswith("s") else None
 
 
+def _summed(parts: list[str], implicit: bool) -> int | None:
+    total = 0
+    for part in parts:
+        if (n := count_of(part, implicit)) is None:
+            return None
+        total += n
+    return total if parts else None
+
+
 def total_of(text: str, implicit: bool) -> int | None:
-    counts = [count_of(x, implicit) for x in items_of(text)]
-    return sum(counts) if counts and None not in counts else None
+    return _summed(items_of(text), implicit)
 
 
 def false_totals(text: str | None) -> list[str]:
-    """Statements whose parts don't add up to the total they give; what can't be counted for sure is passed over."""
-    out = []
+    """Statements whose parts don't add up to the total they give; what can't be counted for sure is passed over.
+
+    A total at the end of its clause is looked for first, then its clause is read, so time is in proportion to the text.
+    """
+    out, free = [], 0
+    text = text or ""
+    held = (_MARK.search(text) is not None, "(" in text, "(" in text and ":" in text)
     for k, pattern in enumerate(_TOTALS):
-        for m in pattern.finditer(text or ""):
-            total = total_of(m.group("items"), k > 0)
-            if total is not None and len(items_of(m.group("items"))) > 1 and total != number_of(m.group("total")):
-                out.append(m.group().strip())
+        for m in pattern.finditer(text) if held[k] else ():
+            start = m.start()
+            if k == 0:
+                start = max(free, *(text.rfind(c, free, m.start()) + 1 for c in ".;:\n"))
+                free = m.end()
+            items = text[start : m.start()] if k == 0 else m.group("items")
+            parts = items_of(items)
+            if len(parts) > 1 and (total := _summed(parts, k > 0)) is not None and total != number_of(m.group("total")):
+                out.append(text[start : m.end()].strip())
     return out
 
 
