@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.words import spread
+from tessera.session import cut
 
 #: Rounds of the network; four are pseudorandom already, two more cost little.
 ROUNDS = 6
@@ -63,12 +64,11 @@ def running_offsets(sums: DataFrame, part: str, value: str, by: tuple[str, ...]
     return grouped.withColumn("_before", F.coalesce(inner, F.lit(0))).join(ahead, keys).select(*by, part, (F.col("_before") + F.col("_ahead")).alias(out))
 
 
-def numbered(rows: DataFrame, order: list[str], n_buckets: int) -> DataFrame:
+def numbered(distinct: DataFrame, order: list[str], n_buckets: int) -> DataFrame:
     """Adds ``_position``: gapless row numbers in an order that depends on the columns of ``order`` alone.
 
-    Equal rows are counted before the shuffle and spread again after it, so that no task holds a hot row's copies.
+    Equal rows come once, with their number in ``_copies``, and are spread again at the end, so that no task holds a hot row's copies.
     """
-    distinct = rows.groupBy(*order).agg(F.count(F.lit(1)).alias("_copies"))
     hashed = distinct.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(n_buckets)).cast("int"))
     offsets = running_offsets(hashed.groupBy("_bucket").agg(F.sum("_copies").alias("_in_bucket")), "_bucket", "_in_bucket")
     before = F.sum("_copies").over(Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
@@ -87,7 +87,9 @@ def assign_shards(docs: DataFrame, n_shards: int = 16, seed: int = 20_240_611, i
     order = ["_c0", "_c1", "_c2", *(f"_c{i + 3}" for i in range(len(keep)))]
     values = [F.col(f"`{id_col}`"), (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary")).cast("long"), *(F.col(f"`{k}`") for k in keep)]
     light = docs.select(*[v.alias(n) for v, n in zip(values, order, strict=True)])
-    n = docs.count()
+    # Short columns, so that texts are read once.
+    light = cut(light.groupBy(*order).agg(F.count(F.lit(1)).alias("_copies")))
+    n = light.agg(F.coalesce(F.sum("_copies"), F.lit(0)).alias("n")).first()["n"]
     rows = numbered(light, order, max(1, -(-n // BUCKET_ROWS))).withColumn("_place", permuted("_position", n, seed))
     taken = {id_col, "size", "text_crc32", "position", "shard", "slot"}
     names = [id_col, "size", "text_crc32", *(f"{k}_kept" if k in taken else k for k in keep)]
