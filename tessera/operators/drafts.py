@@ -133,7 +133,7 @@ def bare_tokens(text: Column, wrappers: int = 3) -> Column:
     return F.filter(F.transform(out, lambda t: F.regexp_replace(t, "[.,;:!?]+$", "")), lambda t: t != "")
 
 
-#: A clause that names the product of a step.
+#: A clause that names the product of a step.
 PRODUCT_CLAUSE = "(?i)\\b(?:final |resulting )?product(?: smiles)?(?: is|:| =)\\s*(\\S+)"
 
 

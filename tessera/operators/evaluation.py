@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.corpus import seeded_order
 
-#: Targets that a prediction is compared with.
+#: Targets that a prediction is compared with.
 TARGETS = ("ground_truth", "clean_plan", "executed")
 
 
@@ -84,7 +84,7 @@ def balanced(rows: DataFrame, record: str, bucket: str, order: list[Column], buc
     return turned.withColumn("place", place).filter(F.col("place") <= most).drop("_turn")
 
 
-#: The order in which families are asked for candidates, and who stands in for an empty one.
+#: The order in which families are asked for candidates, and who stands in for an empty one.
 SCHEDULE = ("fragment", "fragment", "anchor", "combined")
 FALLBACK = ("combined", "fragment", "anchor", "delete")
 
