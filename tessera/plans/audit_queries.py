@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.operators import annotations as an
+from tessera.operators import manifests as mf
 from tessera.operators.spans import word_tokens
 from tessera.plans.registry import duck_norm, query
-from tessera.session import table
+from tessera.session import cut, table
 
 
 @query("SELECT o_orderkey AS id, CASE o_orderkey % 9 WHEN 1 THEN ['role', 'kind'] WHEN 2 THEN ['text'] WHEN 3 THEN ['unbound_changed', 'error_spans'] WHEN 4 THEN ['unbound'] WHEN 5 THEN ['error_spans'] WHEN 6 THEN ['kind'] ELSE [] END AS issues FROM orders")
@@ -150,3 +151,48 @@ def reconstruction_check(spark, sf_dir):
     again = table(spark, sf_dir, "documents").select("doc_id", tx.digest(t).alias("sha"), F.length(t).alias("n"), "lang")
     saved = again.filter(k != 1).withColumns({"sha": F.when(k == 2, "0").otherwise(F.col("sha")), "n": F.when(k == 3, -1).otherwise(F.col("n")), "lang": F.when(k == 3, "xx").otherwise(F.col("lang"))})
     return an.changed_fields(saved, again, "doc_id", ["sha", "n", "lang"])
+
+
+# ---- manifests and copies: what the tables themselves hold -------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, sha256(text) AS sha, lang, source FROM documents WHERE text IS NOT NULL), m AS (SELECT sha, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source FROM d GROUP BY sha)
+SELECT doc_id, 'lang' AS field, d.lang AS found, m.lang AS expected FROM d JOIN m USING (sha) WHERE d.lang IS DISTINCT FROM m.lang UNION ALL SELECT doc_id, 'source', d.source, m.source FROM d JOIN m USING (sha) WHERE d.source IS DISTINCT FROM m.source""")
+def copy_identity_conflicts(spark, sf_dir):
+    """Exact copies that name another language or source than the first document with their text; texts are read once and not shuffled."""
+    d = cut(table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", tx.digest(F.col("text")).alias("sha"), "lang", "source"))
+    first = d.groupBy("sha").agg(F.min(F.struct("doc_id", "lang", "source")).alias("f")).select("sha", "f.lang", "f.source")
+    return mf.identity_conflicts(d, first, "sha", "doc_id", ["lang", "source"])
+
+
+@query("""WITH m AS (SELECT DISTINCT source AS name, lang FROM documents), r AS (SELECT source AS name FROM documents UNION SELECT role FROM conversations)
+SELECT r.name, CAST(count(m.lang) AS BIGINT) AS n_owners, CASE WHEN count(m.lang) = 1 THEN min(m.lang) END AS lang, CASE count(m.lang) WHEN 0 THEN 'unknown' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status FROM r LEFT JOIN m ON r.name = m.name GROUP BY r.name""")
+def source_name_lookup(spark, sf_dir):
+    """Names of sources, and roles, looked up among the languages that own them."""
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("name"), "lang")
+    return mf.name_lookup(d.select("name").unionByName(table(spark, sf_dir, "conversations").select(F.col("role").alias("name"))), d, "name", "lang")
+
+
+@query("SELECT key, sum(n)::BIGINT AS surplus FROM (SELECT o_orderkey AS key, 1 AS n FROM orders UNION ALL SELECT l_orderkey, -1 FROM lineitem) GROUP BY key HAVING sum(n) <> 0")
+def frozen_difference(spark, sf_dir):
+    """Keys that orders and their lines don't hold equally often."""
+    return mf.multiset_difference(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key")), table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key")), ["key"])
+
+
+@query("""SELECT 'lang' AS axis, lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source
+UNION ALL SELECT 'digits', CAST(len(CAST(n_chars AS VARCHAR)) AS VARCHAR), count(*) FROM documents GROUP BY ALL UNION ALL SELECT 'labelled', CAST(doc_id IN (SELECT doc_id FROM labels) AS VARCHAR), count(*) FROM documents GROUP BY ALL""")
+def merge_counters(spark, sf_dir):
+    """Documents by language, source, digits of their length and whether they are labelled."""
+    have = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("_l", F.lit(True))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars").join(have, "doc_id", "left")
+    return mf.axis_counts(d, {"lang": F.col("lang"), "source": F.col("source"), "digits": F.length(F.col("n_chars").cast("string")), "labelled": F.col("_l").isNotNull()})
+
+
+@query("""SELECT doc_id, list_filter([CASE WHEN NOT coalesce(n_chars = length(text), false) THEN 'declared_length' END, CASE WHEN NOT coalesce(strlen(text) = length(text), false) THEN 'ascii' END,
+CASE WHEN NOT coalesce(len(string_split(text, chr(10))) = 1 + length(text) - length(replace(text, chr(10), '')), false) THEN 'lines' END], lambda x: x IS NOT NULL) AS broken FROM documents""")
+def accounting_identities(spark, sf_dir):
+    """Lengths that must agree: declared and counted characters, characters and bytes, lines and line ends."""
+    t = F.col("text")
+    lines = F.size(F.split(t, "\n", -1)) == 1 + F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    tests = {"declared_length": F.col("n_chars") == F.length(t), "ascii": F.octet_length(t) == F.length(t), "lines": lines & t.isNotNull()}
+    return table(spark, sf_dir, "documents").select("doc_id", mf.broken_identities(tests).alias("broken"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import stats as st
 from tessera.functions import text as tx
 from tessera.operators import claims as cl
+from tessera.operators import manifests as mf
 from tessera.operators import corpus as co
 from tessera.operators import pairs as pa
 from tessera.operators import spans as sp
@@ -327,3 +328,34 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
     stream = windowed_counts(stream_of(spark, str(tmp_path / "in"), df.schema), "ts", "k")
     stream.writeStream.format("memory").queryName("_windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted((r.start.hour, r.k, r.n_rows) for r in spark.table("_windows").collect()) == [(0, "a", 2), (0, "b", 1), (1, "a", 1)]
+
+
+def test_identity_conflicts_compare_nulls_and_report_rows_without_manifest(spark):
+    r = spark.createDataFrame([(1, "a", "x", None), (2, "a", "y", None), (3, "b", None, "q"), (4, None, "x", "q"), (2, "a", "y", None)], "id int, k string, f string, g string")
+    m = spark.createDataFrame([("a", "x", None), ("c", "x", "q")], "k string, f string, g string")
+    got = sorted(map(tuple, mf.identity_conflicts(r, m, "k", "id", ["f", "g"]).collect()))
+    assert got == [(2, "f", "y", "x"), (2, "f", "y", "x"), (3, "", None, None), (4, "", None, None)]
+    assert mf.identity_conflicts(r, m, "k", "id", []).count() == 2
+
+
+def test_name_lookup_counts_distinct_owners(spark):
+    m = spark.createDataFrame([("a", "p"), ("a", "p"), ("b", "p"), ("b", "q"), ("c", None)], "name string, owner string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("d",), ("a",), (None,)], "name string")
+    got = {r[0]: tuple(r)[1:] for r in mf.name_lookup(asked, m, "name", "owner").collect()}
+    assert got == {"a": (1, "p", "found"), "b": (2, None, "ambiguous"), "c": (0, None, "unknown"), "d": (0, None, "unknown"), None: (0, None, "unknown")}
+
+
+def test_multiset_difference_counts_both_ways(spark):
+    a = spark.createDataFrame([(1, None), (1, None), (2, "x"), (3, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, None), (2, "x"), (2, "x"), (4, "z")], "k int, v string")
+    assert {tuple(r) for r in mf.multiset_difference(a, b, ["k", "v"]).collect()} == {(1, None, 1), (2, "x", -1), (3, "y", 1), (4, "z", -1)}
+    assert mf.multiset_difference(a, a, ["k", "v"]).count() == 0
+
+
+def test_axis_counts_and_identities_treat_nulls_as_values(spark):
+    d = spark.createDataFrame([(1, "x"), (None, "x"), (2, None)], "n int, s string")
+    got = {(r.axis, r.value): r.n for r in mf.axis_counts(d, {"s": F.col("s"), "n": F.col("n")}).collect()}
+    assert got == {("s", "x"): 2, ("s", None): 1, ("n", "1"): 1, ("n", "2"): 1, ("n", None): 1}
+    assert mf.axis_counts(d.limit(0), {"s": F.col("s")}).count() == 0
+    broken = [r.b for r in d.select(mf.broken_identities({"one": F.col("n") == 1, "length": F.length("s") == 1}).alias("b")).collect()]
+    assert broken == [[], ["one"], ["one", "length"]]
